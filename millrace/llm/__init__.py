@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("bpe", "cooccurrence")
+MODULES = ("credentials", "cooccurrence", "bpe")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
