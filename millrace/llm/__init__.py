@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("credentials", "cooccurrence", "parsing", "bpe")
+MODULES = ("credentials", "cooccurrence", "docpairs", "parsing", "bpe")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
