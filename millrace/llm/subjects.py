@@ -262,7 +262,7 @@ def fit(documents: DataFrame, labels: DataFrame, subjects: DataFrame, items: Dat
     n_docs = encoded.count()
     words = encoded.select("doc_id", "language", F.explode(F.array_distinct(F.flatten("sentences"))).alias("word"))
     least = max(MIN_DOCS, int(np.ceil(n_docs * MIN_SHARE)))
-    by_language = words.groupBy("word").pivot("language", languages).agg(F.count("*")).na.fill(0)
+    by_language = words.groupBy("word").pivot("language", languages).agg(F.count(F.lit(1))).na.fill(0)
     frequent = by_language.where(sum(F.col(f"`{x}`") for x in languages) >= least)
     counted = sorted(tuple(r) for r in frequent.collect())  # at most the words of a document / MIN_SHARE
     vocabulary = [r[0] for r in counted]
