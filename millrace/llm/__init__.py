@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("credentials", "cooccurrence", "docpairs", "parsing", "bpe", "leakage", "subjects")
+MODULES = ("credentials", "cooccurrence", "handwritten", "docpairs", "parsing", "bpe", "leakage", "subjects")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
