@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES and ORACLES; a new query module is listed here.
-MODULES: tuple[str, ...] = ("millrace.plans.scalar_queries", "millrace.plans.graph_queries", "millrace.plans.retrieval_queries", "millrace.plans.selection_queries")
+MODULES: tuple[str, ...] = ("millrace.plans.scalar_queries", "millrace.plans.graph_queries", "millrace.plans.retrieval_queries", "millrace.plans.selection_queries", "millrace.plans.source_queries")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
