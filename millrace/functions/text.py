@@ -97,9 +97,9 @@ def token_estimate(c: Column) -> Column:
         + count(plain, r"\p{L}[0-9]")
         + count(plain, r"[0-9]\p{L}")
         + count(plain, r"\p{Lu}\p{Lu}\p{Ll}")
-        + count(plain, r"[^\p{L}\p{N}\s!-/:-@\[-`{-~]")
+        + count(plain, r"[^\p{L}\p{N}\s\x0b\x{85}\p{Z}!-/:-@\[-`{-~]")
     )
-    return F.when(F.length(F.trim(F.regexp_replace(c, r"\s+", " "))) == 0, 0).otherwise(F.greatest(n, F.ceil(F.octet_length(c) / 4))).cast("bigint")
+    return F.when(~c.rlike(r"[^\s\x0b\x{85}\p{Z}]"), 0).otherwise(F.greatest(n, F.ceil(F.octet_length(c) / 4))).cast("bigint")
 
 
 def token_calibrated(raw: Column) -> Column:

@@ -59,5 +59,5 @@ def tokens_sql(x: str) -> str:
     def n(text: str, pattern: str) -> str:
         return f"len(regexp_extract_all({text}, '{pattern}'))"
 
-    parts = [n(x, ops), *(n(plain, p) for p in ("[!-/:-@\\[-`{-~]", "[\\p{L}\\p{N}]+", "\\p{Ll}\\p{Lu}", "\\p{L}[0-9]", "[0-9]\\p{L}", "\\p{Lu}\\p{Lu}\\p{Ll}", "[^\\p{L}\\p{N}\\s!-/:-@\\[-`{-~]"))]
-    return f"CAST(CASE WHEN trim(regexp_replace({x}, '\\s+', ' ', 'g')) = '' THEN 0 ELSE greatest({' + '.join(parts)}, ceil(octet_length(encode({x})) / 4.0)) END AS BIGINT)"
+    parts = [n(x, ops), *(n(plain, p) for p in ("[!-/:-@\\[-`{-~]", "[\\p{L}\\p{N}]+", "\\p{Ll}\\p{Lu}", "\\p{L}[0-9]", "[0-9]\\p{L}", "\\p{Lu}\\p{Lu}\\p{Ll}", "[^\\p{L}\\p{N}\\s\\x0b\\x{85}\\p{Z}!-/:-@\\[-`{-~]"))]
+    return f"CAST(CASE WHEN NOT regexp_matches({x}, '[^\\s\\x0b\\x{{85}}\\p{{Z}}]') THEN 0 ELSE greatest({' + '.join(parts)}, ceil(octet_length(encode({x})) / 4.0)) END AS BIGINT)"

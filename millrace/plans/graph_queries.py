@@ -88,24 +88,29 @@ def dense_reindex(spark: SparkSession, d: str) -> DataFrame:
     return G.dense_index(n, "repo_id", ["file_path", "id"]).select("id", "dense_id")
 
 
+def _fixed(c: str):  # noqa: ANN202
+    """Six digits; the offset keeps exact halves, whose last bit depends on the order of a sum, on one side."""
+    return F.round(F.col(c) + 1e-10, 6)
+
+
 def ppr_steps(spark: SparkSession, d: str) -> DataFrame:
     s = D.ppr(transition(spark, d), seeds(spark, d), steps=4)
-    return s.select("query", "id", F.round("p", 6).alias("p"), F.round("r", 6).alias("r"))
+    return s.select("query", "id", _fixed("p").alias("p"), _fixed("r").alias("r"))
 
 
 def ppr_push(spark: SparkSession, d: str) -> DataFrame:
     s = D.ppr(transition(spark, d), seeds(spark, d))
-    return s.select("query", "id", F.round("p", 6).alias("p"), F.round("r", 6).alias("r"))
+    return s.select("query", "id", _fixed("p").alias("p"), _fixed("r").alias("r"))
 
 
 def ppr_task(spark: SparkSession, d: str) -> DataFrame:
     t = G.mix_layers(G.with_reverse_containment(edges(spark, d)), G.relation_weights("refactor"))
-    return D.ppr(t, seeds(spark, d), steps=3).select("query", "id", F.round("p", 6).alias("p"))
+    return D.ppr(t, seeds(spark, d), steps=3).select("query", "id", _fixed("p").alias("p"))
 
 
 def ppr_error_bound(spark: SparkSession, d: str) -> DataFrame:
     s = D.ppr(transition(spark, d), seeds(spark, d), steps=4)
-    return D.error_bounds(s, collapsed(spark, d)).select("query", "id", F.round("bound", 6).alias("bound"))
+    return D.error_bounds(s, collapsed(spark, d)).select("query", "id", _fixed("bound").alias("bound"))
 
 
 def pagerank_uniform(spark: SparkSession, d: str) -> DataFrame:
@@ -126,7 +131,7 @@ def community_boost(spark: SparkSession, d: str) -> DataFrame:
     m = membership(spark, d)
     own = seeds(spark, d).join(m, "id").select("query", "community").distinct()
     members = own.join(m, "community").select("query", "id")
-    return D.boost(s, members, 0.5).select("query", "id", F.round("p", 6).alias("p"))
+    return D.boost(s, members, 0.5).select("query", "id", _fixed("p").alias("p"))
 
 
 def evidence_kernel(spark: SparkSession, d: str) -> DataFrame:
@@ -319,15 +324,15 @@ ORACLES = {
     "symmetrize": f"WITH {EDGES} SELECT least(src, dst) AS a, greatest(src, dst) AS b, CAST(count(*) AS DOUBLE) AS weight FROM e GROUP BY 1, 2",
     "graph_stats": f"WITH {NODES}, {EDGES}, o AS (SELECT src AS id, count(*) AS k FROM e GROUP BY 1) SELECT kind, count(*) AS symbols, CAST(sum(token_cost) AS BIGINT) AS tokens, round(avg(coalesce(k, 0)), 6) AS out_degree, count(docstring) AS documented FROM n LEFT JOIN o ON o.id = n.id GROUP BY 1",
     "dense_reindex": f"WITH {NODES} SELECT id, row_number() OVER (ORDER BY repo_id, file_path, id) - 1 AS dense_id FROM n",
-    "ppr_steps": f"WITH {NODES}, {TRANSITION}, {_SEEDS}, {_ppr(4)} SELECT query, id, round(p, 6) AS p, round(r, 6) AS r FROM p4",
-    "ppr_task": f"WITH {NODES}, {BOTH}, {_mixed('refactor')}, {_SEEDS}, {_ppr(3, 'u')} SELECT query, id, round(p, 6) AS p FROM p3",
+    "ppr_steps": f"WITH {NODES}, {TRANSITION}, {_SEEDS}, {_ppr(4)} SELECT query, id, round(p + 1e-10, 6) AS p, round(r + 1e-10, 6) AS r FROM p4",
+    "ppr_task": f"WITH {NODES}, {BOTH}, {_mixed('refactor')}, {_SEEDS}, {_ppr(3, 'u')} SELECT query, id, round(p + 1e-10, 6) AS p FROM p3",
     "ppr_error_bound": f"""WITH {NODES}, {TRANSITION}, {_SEEDS}, {_ppr(4)}, wo AS (SELECT query, max(r) AS worst FROM p4 GROUP BY 1), ind AS (SELECT dst AS id, count(*) AS k FROM c GROUP BY 1)
-        SELECT p4.query, p4.id, round(greatest(1e-4, worst) / 0.15 * greatest(coalesce(k, 0), 1), 6) AS bound FROM p4 JOIN wo ON wo.query = p4.query LEFT JOIN ind ON ind.id = p4.id""",
+        SELECT p4.query, p4.id, round(greatest(1e-4, worst) / 0.15 * greatest(coalesce(k, 0), 1) + 1e-10, 6) AS bound FROM p4 JOIN wo ON wo.query = p4.query LEFT JOIN ind ON ind.id = p4.id""",
     "pagerank_uniform": f"WITH {NODES}, {TRANSITION}, {_ppr(5, 't', 'SELECT repo_id AS query, id, 1.0 / count(*) OVER (PARTITION BY repo_id) AS r FROM n')} SELECT query, id, round(p, 8) AS p FROM p5",
     "central_hubs": f"""WITH {NODES}, {TRANSITION}, {_ppr(5, 't', 'SELECT repo_id AS query, id, 1.0 / count(*) OVER (PARTITION BY repo_id) AS r FROM n')}, ind AS (SELECT dst AS id, count(*) AS k FROM c GROUP BY 1)
         SELECT p5.id, coalesce(k, 0) AS in_degree, round(coalesce(k, 0) * 10 + p * 1000, 4) AS score FROM p5 LEFT JOIN ind ON ind.id = p5.id ORDER BY score DESC, p5.id LIMIT 15""",
     "community_boost": f"""WITH {NODES}, {TRANSITION}, {_SEEDS}, {_MEMBERS}, {_ppr(3)}, own AS (SELECT DISTINCT s.query, m.community FROM s JOIN m ON m.id = s.id), mem AS (SELECT DISTINCT own.query, m.id FROM own JOIN m ON m.community = own.community)
-        SELECT p3.query, p3.id, round(CASE WHEN mem.id IS NULL THEN p ELSE p * 1.5 END, 6) AS p FROM p3 LEFT JOIN mem ON mem.query = p3.query AND mem.id = p3.id""",
+        SELECT p3.query, p3.id, round(CASE WHEN mem.id IS NULL THEN p ELSE p * 1.5 END + 1e-10, 6) AS p FROM p3 LEFT JOIN mem ON mem.query = p3.query AND mem.id = p3.id""",
     "evidence_kernel": f"WITH {NODES}, {EDGES}, {_KERNEL} SELECT src, count(*) AS targets, round(sum(k), 5) AS mass, round(max(k), 5) AS most FROM kk GROUP BY 1",
     "prob_coverage": f"""WITH {NODES}, {EDGES}, {_KERNEL}, x AS (SELECT n.repo_id AS query, kk.dst, 1 - exp(sum(ln(1 - least(kk.k, 1 - 1e-7)))) AS c FROM kk JOIN n ON n.id = kk.src WHERE n.docstring IS NOT NULL GROUP BY 1, 2)
         SELECT query, round(sum(c), 4) AS coverage FROM x GROUP BY 1""",
