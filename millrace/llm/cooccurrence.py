@@ -161,7 +161,7 @@ def llr(together: Column, n_u: Column, n_v: Column, n: Column) -> Column:
     return 2 * (term(together, n_u, n_v) + term(n_u - together, n_u, n - n_v) + term(n_v - together, n - n_u, n_v) + term(n - n_u - n_v + together, n - n_u, n - n_v))
 
 
-def counted_pairs(all_baskets: DataFrame, min_together: int = 1, max_partitions: int | None = None) -> DataFrame:
+def counted_pairs(all_baskets: DataFrame, min_together: int = 1) -> DataFrame:
     """(run_id, src_id, dst_id, together, mass, n_src, mass_src, n_dst, mass_dst, n_valid), src_id < dst_id."""
     stripes = weighted(all_baskets).mapInArrow(_stripes, _STRIPE)
     cells = stripes.repartition("run_id", "u").sortWithinPartitions("run_id", "u").mapInArrow(_merge, _PAIR).persist()
@@ -173,7 +173,7 @@ def counted_pairs(all_baskets: DataFrame, min_together: int = 1, max_partitions:
 
 def significant_pairs(commits: DataFrame, min_together: int = 3, min_lift: float = 3.0, min_llr: float = 0.0) -> DataFrame:
     """Pairs touched together at least `min_together` times and `min_lift` times as often as chance, with their LLR."""
-    all_baskets = baskets(commits)
+    all_baskets = baskets(commits).persist()  # read for the last commits, the stripes and the run sizes
     p = counted_pairs(all_baskets, min_together)
     p = p.where(F.col("together") * F.col("n_valid") >= F.lit(min_lift) * F.col("n_src") * F.col("n_dst"))
     p = p.withColumn("llr", llr(F.col("together"), F.col("n_src"), F.col("n_dst"), F.col("n_valid")))
@@ -186,7 +186,7 @@ def restated_reports(commits: DataFrame, edges: DataFrame, min_support: int = 2,
     Edges count once, without self-loops, if both ends are touched in the run;
     `Contains` counts in both directions. Pairs are directed, as in the reports.
     """
-    all_baskets = baskets(commits)
+    all_baskets = baskets(commits).persist()
     p = counted_pairs(all_baskets, min_support)
     union = F.greatest(F.col("mass_src") + F.col("mass_dst") - F.col("mass"), F.lit(1e-6))
     p = p.where(F.col("mass") / union >= min_jaccard).select("run_id", F.col("src_id").alias("a"), F.col("dst_id").alias("b"), "mass")
