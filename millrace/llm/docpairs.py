@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, language_of_path, spread, table
+from .common import arrow_map, language_of_path, materialize, spread, table
 
 _LEX = {
     "python": re.compile(r"(?P<c>\#[^\n]*)|(?P<s>(?i:[rbuf]{0,2})(?:'''(?:\\.|[^\\])*?'''|\"\"\"(?:\\.|[^\\])*?\"\"\"|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"))", re.S),
@@ -167,7 +167,10 @@ def spans_of(path: str | None, content: str | None) -> list[tuple]:
                     if re.match(r"[ \t]*(?:;|\n|\Z|\#)", text[end : end + 200]) and not re.match(r"(?i)[rbuf]*[bf]", re.match(r"\w*", piece).group() or "-"):
                         body = row(p)
                         out.append(("docstring", body, body, name, piece, None))
-        signature = re.sub(r"\s+", "", text[starts[r] : starts[r] + 2000])
+        opening = code.find("(", m.end() - 1)
+        after = _balanced(code, opening) if opening >= 0 else -1
+        ending = re.compile(r"[{;]|\n").search(code, after) if after > 0 else None
+        signature = re.sub(r"\s+", "", text[starts[r] : ending.start() if ending else starts[r] + len(code_rows[r])])
         found.append((r, name, body, signature))
     declared = {r for r, *_ in found}
     for r in range(n):
@@ -183,7 +186,7 @@ _EVENT = "file_id bigint, kind string, row int, first_row int, name string, text
 
 
 def events(files: DataFrame) -> DataFrame:
-    """All spans of all files, a repeated load once."""
+    """All spans of all loads of files."""
 
     def rows(cols: dict[str, list]) -> Iterator[tuple]:
         for fid, path, content in zip(cols["file_id"], cols["file_path"], cols["content"], strict=True):
@@ -313,13 +316,14 @@ def documented(files: DataFrame, apis: DataFrame) -> DataFrame:
     """(symbol_id, name, kind, signature, documentation) of functions and methods whose source documents them."""
     wanted = apis.where("kind in ('Function', 'Method') and name is not null and file_id is not null and symbol_id is not null").select("symbol_id", "file_id", "name", "kind", "signature")
     wanted = wanted.groupBy("symbol_id", "file_id", "name", "kind").agg(F.max("signature").alias("signature"))
-    spans = events(files).dropDuplicates(["file_id", "kind", "row", "name"])
-    pairs = attach(spans).where("comment is not null or docstring is not null").withColumnRenamed("signature", "declared")
+    # written once, read for the comments and for the docstrings; the spans of repeated loads are equal and do no harm
+    spans = materialize(events(files))
+    pairs = attach(spans).withColumnRenamed("signature", "declared")
     joined = wanted.join(pairs, ["file_id", "name"])
     # of several functions of one name, the one declared as the row's signature says
     same = F.col("declared").contains(F.regexp_replace("signature", r"\s+", ""))
     best = Window.partitionBy("symbol_id").orderBy(F.coalesce(same, F.lit(False)).desc(), "row")
-    one = joined.withColumn("n", F.row_number().over(best)).where("n = 1")
+    one = joined.withColumn("n", F.row_number().over(best)).where("n = 1 and (comment is not null or docstring is not null)")
 
     @F.pandas_udf("boolean")
     def says(name, comment, docstring):  # noqa: ANN001, ANN202 - pandas series
