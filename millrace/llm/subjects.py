@@ -171,7 +171,9 @@ def start(label_counts: np.ndarray, language_counts: np.ndarray, label_languages
     expected = (of_language.T @ share).T * total[None, :]
     lift = (label_counts + 0.1) / (expected + 0.2)
     clear = (label_counts - expected) / np.sqrt(expected + 0.25)
-    special = np.where((lift > 1.8) & (clear > 2.5) & (label_counts >= 2), label_counts * np.minimum(lift - 1.0, 6.0), 0.0) + 0.5 * descriptions
+    # of a word's labels, the subject must have clearly more than its share of all labels
+    least = 1.0 + 0.1 * (1.0 - overall[:, None]) / overall[:, None]
+    special = np.where((lift > least) & (clear > 2.5) & (label_counts >= 2), label_counts * np.minimum(lift - 1.0, 6.0), 0.0) + 0.5 * descriptions
     shared = (special > 0).sum(axis=0) == 0
     rng = np.random.default_rng(7)
     back = (language_counts.sum(axis=0) * shared)[None, :] * rng.uniform(0.5, 1.5, size=(BACKGROUND, v)) * 0.2
