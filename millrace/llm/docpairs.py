@@ -268,6 +268,9 @@ def _stem(w: str) -> str:
     return w[:-1] if len(w) > 3 and w[-1] == "e" else w
 
 
+_FILLER_STEMS = frozenset(_stem(f) for f in _FILLER)
+
+
 def _words(s: str) -> list[str]:
     return re.findall(r"[^\W\d_]+|\d+", re.sub(r"([a-z\d])([A-Z])", r"\1 \2", s))
 
@@ -308,7 +311,7 @@ def substance(name: str | None, comment: str | None) -> bool:
             continue
         kept.append(line)
     words = [w for line in kept for w in _words(line)]
-    left = [w for w in words if not w.isdigit() and w.lower() not in _FILLER and _stem(w) not in own and _stem(w) not in {_stem(f) for f in _FILLER}]
+    left = [w for w in words if not w.isdigit() and w.lower() not in _FILLER and _stem(w) not in own and _stem(w) not in _FILLER_STEMS]
     return bool(left)
 
 
