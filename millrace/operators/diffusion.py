@@ -7,6 +7,9 @@ which keeps the plan short and survives lost executors.
 
 from __future__ import annotations
 
+from collections import deque
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +25,7 @@ def normalized_seeds(seeds: DataFrame) -> DataFrame:
     return s.join(total, "query").select("query", "id", (F.col("w") / F.col("t")).alias("r"))
 
 
-def ppr(transition: DataFrame, seeds: DataFrame, alpha: float = ALPHA, steps: int | None = None, epsilon: float = EPSILON, max_steps: int = 60, checkpoint_every: int = 2) -> DataFrame:
+def ppr(transition: DataFrame, seeds: DataFrame, alpha: float = ALPHA, steps: int | None = None, epsilon: float = EPSILON, max_steps: int = 60, checkpoint_every: int = 4) -> DataFrame:
     """(query, id, p, r) by synchronous forward push.
 
     With `steps`, so many rounds push every residual; else rounds push residuals of
@@ -30,6 +33,7 @@ def ppr(transition: DataFrame, seeds: DataFrame, alpha: float = ALPHA, steps: in
     all of its residual. The sum of p and r of a query is 1.
     """
     t = transition.select(F.col("src").alias("id"), "dst", F.col("weight").alias("w"))
+    t = t.persist() if steps is None or steps > 2 else t
     has_out = t.select("id").distinct().withColumn("out", F.lit(True))
     state = normalized_seeds(seeds).select("query", "id", F.lit(0.0).alias("p"), "r")
     rounds = steps if steps is not None else max_steps
@@ -43,13 +47,66 @@ def ppr(transition: DataFrame, seeds: DataFrame, alpha: float = ALPHA, steps: in
         )
         pushed = s.where("live and out").join(t, "id").select("query", F.col("dst").alias("id"), F.lit(0.0).alias("p"), ((1 - alpha) * F.col("r") * F.col("w")).alias("r"))
         state = kept.unionByName(pushed).groupBy("query", "id").agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
-        if (k + 1) % checkpoint_every == 0 or steps is None:
+        if (k + 1) % checkpoint_every == 0:
             state = materialize(state)
-        if steps is None and state.where(F.col("r") >= epsilon).isEmpty():
-            break
+            # rounds after the last live residual change nothing, so looking at every few is enough
+            if steps is None and state.where(F.col("r") >= epsilon).isEmpty():
+                break
     return state
 
 
+def push_kernel(near: dict[int, list[tuple[int, float]]], seeds: dict[int, float], alpha: float = ALPHA, epsilon: float = EPSILON, max_pushes: int = 100_000) -> tuple[dict[int, float], dict[int, float]]:
+    """(p, r) by first-in-first-out forward push of one query; a sink keeps all of its residual."""
+    total = sum(max(w, 0.0) for w in seeds.values())
+    if total <= 0:
+        return {}, {}
+    p: dict[int, float] = {}
+    r = {i: w / total for i, w in sorted(seeds.items()) if w > 0}
+    queue = deque(i for i, w in r.items() if w >= epsilon)
+    waiting = set(queue)
+    for _ in range(max_pushes):
+        if not queue:
+            break
+        i = queue.popleft()
+        waiting.discard(i)
+        x = r.get(i, 0.0)
+        if x < epsilon:
+            continue
+        r[i] = 0.0
+        out = near.get(i)
+        if not out:
+            p[i] = p.get(i, 0.0) + x
+            continue
+        p[i] = p.get(i, 0.0) + alpha * x
+        for j, w in out:
+            v = r[j] = r.get(j, 0.0) + (1 - alpha) * x * w
+            if v >= epsilon and j not in waiting:
+                queue.append(j)
+                waiting.add(j)
+    return p, r
+
+
+def ppr_grouped(transition: DataFrame, seeds: DataFrame, alpha: float = ALPHA, epsilon: float = EPSILON) -> DataFrame:
+    """(query, id, p, r) by exact push where each query has its own graph: `transition` (query, src, dst, weight).
+
+    One kernel per query, side by side; for a graph that all queries share, `ppr` is the distributed form.
+    """
+
+    def run(key: tuple, edges: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        near: dict[int, list[tuple[int, float]]] = {}
+        for a, b, w in edges.sort_values(["src", "dst"])[["src", "dst", "weight"]].itertuples(index=False):
+            near.setdefault(int(a), []).append((int(b), float(w)))
+        wanted: dict[int, float] = {}
+        for i, w in own[["id", "weight"]].itertuples(index=False):
+            wanted[int(i)] = wanted.get(int(i), 0.0) + float(w)
+        p, r = push_kernel(near, wanted, alpha, epsilon)
+        ids = sorted(set(p) | set(r))
+        return pd.DataFrame({"query": key[0], "id": ids, "p": [p.get(i, 0.0) for i in ids], "r": [r.get(i, 0.0) for i in ids]})
+
+    left = transition.select("query", "src", "dst", "weight").groupBy("query")
+    return left.cogroup(seeds.select("query", "id", "weight").groupBy("query")).applyInPandas(run, "query bigint, id bigint, p double, r double")
+
+
 def error_bounds(scores: DataFrame, edges: DataFrame, alpha: float = ALPHA, epsilon: float = EPSILON) -> DataFrame:
     """(query, id, p, bound) of every scored node: the largest residual or epsilon, over alpha, times its in-degree."""
     worst = scores.groupBy("query").agg(F.max("r").alias("worst"))

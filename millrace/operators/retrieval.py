@@ -67,10 +67,13 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     x = x.select("id", "term", (idf * (tf * (K1 + 1.0) / (tf + K1) + DELTA)).alias("s"))
     lexical = x.join(F.broadcast(terms), "term").groupBy("query", "id").agg(F.sum("s").alias("s"))
     rows = [r for r in queries.select("query", "text").collect()]  # the stated queries
-    stated = F.array(*[F.struct(F.lit(r["query"]).alias("query"), F.lit(r["text"].strip().lower()).alias("q")) for r in rows])
-    e = docs.select("id", "name", "name_tokens", T.char_ngrams(F.array_join("name_tokens", "")).alias("grams"), F.explode(stated).alias("x")).select("*", "x.query", "x.q")
+    stated = F.array(*[F.struct(F.lit(r["query"]).alias("query"), F.lit(r["text"].strip().lower()).alias("q"), F.array(*[F.lit(g) for g in sorted(grams_of(r["text"]))]).alias("q_grams")) for r in rows])
+    # the grams of a name are made once, in a projection of their own, and not again for each query
+    named = docs.select("id", "name", "name_tokens", T.char_ngrams(F.array_join("name_tokens", "")).alias("grams"))
+    e = named.select("*", F.explode(stated).alias("x")).select("*", "x.query", "x.q", "x.q_grams")
     exact = F.when((F.array_join("name_tokens", "") == F.col("q")) | (F.array_join("name_tokens", "_") == F.col("q")), 40.0).when(F.array_contains("name_tokens", F.col("q")), 20.0).otherwise(0.0)
-    sim = T.set_jaccard(T.char_ngrams(F.col("q")), F.col("grams"))
+    common = F.size(F.array_intersect("q_grams", "grams"))
+    sim = common / (F.size("q_grams") + F.size("grams") - common)
     bonus = e.select("query", "id", (exact + F.when(sim > 0.35, sim * 15.0).otherwise(0.0)).alias("s")).where("s > 0")
     return lexical.unionByName(bonus).groupBy("query", "id").agg(F.sum("s").alias("score"))
 

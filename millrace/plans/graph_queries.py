@@ -90,7 +90,7 @@ def dense_reindex(spark: SparkSession, d: str) -> DataFrame:
 
 def _fixed(c: str):  # noqa: ANN202
     """Six digits; the offset keeps exact halves, whose last bit depends on the order of a sum, on one side."""
-    return F.round(F.col(c) + 1e-10, 6)
+    return F.round(F.col(c) + 1e-10, 6).alias(c)
 
 
 def ppr_steps(spark: SparkSession, d: str) -> DataFrame:
@@ -99,8 +99,10 @@ def ppr_steps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ppr_push(spark: SparkSession, d: str) -> DataFrame:
-    s = D.ppr(transition(spark, d), seeds(spark, d))
-    return s.select("query", "id", _fixed("p").alias("p"), _fixed("r").alias("r"))
+    """Exact push from each repository's seed, a kernel per repository."""
+    own = nodes(spark, d).select(F.col("id").alias("src"), F.col("repo_id").alias("query"))
+    s = D.ppr_grouped(transition(spark, d).join(own, "src"), seeds(spark, d))
+    return s.select("query", "id", _fixed("p"), _fixed("r"))
 
 
 def ppr_task(spark: SparkSession, d: str) -> DataFrame:
@@ -303,6 +305,11 @@ _BFS = """back AS (SELECT DISTINCT dst AS at, src AS id FROM e), bfs AS (
  WITH RECURSIVE z(root, id, depth) AS (SELECT id, id, 0 FROM r UNION SELECT z.root, back.id, z.depth + 1 FROM z JOIN back ON back.at = z.id WHERE z.depth < 8) SELECT root, id, min(depth) AS depth FROM z GROUP BY 1, 2 HAVING min(depth) > 0)"""
 _TEST = """(regexp_matches(lower(replace(file_path, '\\', '/')), '(^|/)tests/|test_|_test\\.(rs|go)$|\\.(test|spec)\\.(ts|tsx|js)$') OR regexp_matches(lower(name), '^test_|_test$') OR starts_with(name, 'Test') OR regexp_matches(concat_ws(' ', signature, docstring), '#\\[(tokio::)?test\\]'))"""
 
+_ROUNDS = "".join(
+    f", l{i + 1} AS (SELECT id, lab FROM (SELECT id, lab, row_number() OVER (PARTITION BY id ORDER BY sum(w) DESC, lab) AS rn FROM (SELECT y.id, l{i}.lab, y.w FROM y JOIN l{i} ON l{i}.id = y.near UNION ALL SELECT id, lab, 1.0 FROM l{i}) GROUP BY 1, 2) WHERE rn = 1)"
+    for i in range(5)
+)
+
 QUERIES = {
     f.__name__: f
     for f in (edge_merge, row_normalize, layer_mix_transition, transpose, degrees, layer_counts, neighborhood, induced_subgraph, symmetrize, graph_stats, dense_reindex, ppr_steps, ppr_push, ppr_task, ppr_error_bound, pagerank_uniform, central_hubs, community_boost, evidence_kernel, prob_coverage,
@@ -380,4 +387,5 @@ ORACLES = {
         d AS (SELECT *, CASE WHEN file_path = sp THEN 0 WHEN same_dir THEN 1 ELSE len(x) + len(y) - 2 * coalesce(list_position(list_transform(range(1, least(len(x), len(y)) + 1), lambda q: x[q] = y[q]), false) - 1, least(len(x), len(y))) END AS dist FROM j),
         c AS (SELECT *, CASE WHEN file_path = sp THEN 3 WHEN same_dir AND ends_with(file_path, '.go') AND ends_with(sp, '.go') THEN 4 WHEN k = 1 THEN 6 ELSE 8 END AS priority, CAST(CASE WHEN file_path = sp THEN 1.0 WHEN same_dir AND ends_with(file_path, '.go') AND ends_with(sp, '.go') THEN 1.0 WHEN dist = 1 THEN 0.85 WHEN dist = 2 THEN 0.6 ELSE 0.3 END AS DOUBLE) AS confidence FROM d)
         SELECT repo_id, file_path, ident, id, confidence, CAST(priority AS BIGINT) AS priority FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, file_path, ident ORDER BY priority, confidence DESC, id) AS rn FROM c) WHERE rn = 1""",
+    "label_propagation": f"""WITH {NODES}, {EDGES}, u AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, CAST(count(*) AS DOUBLE) AS w FROM e GROUP BY 1, 2), y AS (SELECT a AS id, b AS near, w FROM u UNION ALL SELECT b, a, w FROM u), l0 AS (SELECT id, id AS lab FROM n){_ROUNDS} SELECT id, lab AS community FROM l5""",
 }

@@ -244,4 +244,5 @@ ORACLES = {
     "diff_to_symbols": f"""WITH {NODES}, {_FIRST}, rw AS (SELECT repo_id, p, r + unnest([0, 1]) AS row FROM fs), s AS (SELECT id, repo_id, {_P} AS p, span.start_row AS a, span.end_row AS b FROM n WHERE span IS NOT NULL),
         h AS (SELECT s.repo_id AS key, s.p, s.id, sum(CASE WHEN row BETWEEN a AND b THEN 1 ELSE 0 END) AS hits FROM s JOIN rw ON rw.repo_id = s.repo_id AND rw.p = s.p GROUP BY 1, 2, 3), g AS (SELECT *, max(hits) OVER (PARTITION BY key, p) AS most FROM h)
         SELECT key, id, CAST(greatest(hits, 1) AS BIGINT) AS hits FROM g WHERE hits > 0 OR most = 0""",
+    "hash_embed": """SELECT doc_id, 128 AS dims, CASE WHEN regexp_matches(coalesce(text, ''), '[^\\s\\x0b\\x{85}\\p{Z}]') THEN 1.0 ELSE 0.0 END AS norm FROM documents""",
 }

@@ -344,4 +344,7 @@ ORACLES = {
         dg AS (SELECT z.id, count(*) AS k FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) z GROUP BY 1), hb AS (SELECT query, id FROM (SELECT t.query, t.id, row_number() OVER (PARTITION BY t.query ORDER BY dg.k DESC, t.id) AS r FROM t JOIN dg ON dg.id = t.id) WHERE r <= 3),
         ev AS (SELECT query, id, 'exact' AS reason, 1.0 AS score FROM t WHERE name IN ('journal', 'archive', 'ledger') UNION ALL SELECT query, id, 'part', 0.85 FROM t WHERE list_has_any(w, ['journal', 'archive', 'ledger']) UNION ALL SELECT query, id, 'hub', 0.3 FROM hb),
         bs AS (SELECT query, id, arg_max(reason, score) AS reason, CAST(max(score) AS DOUBLE) AS score FROM ev GROUP BY 1, 2) SELECT query, id, reason, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS r FROM bs) WHERE r <= 10""",
+    "knapsack_exact": f"""WITH {_CAND}, tp AS (SELECT query, cost, score, r FROM (SELECT query, cost, score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) - 1 AS r FROM cd) WHERE r < 12),
+        mk AS (SELECT unnest(range(0, 4096)) AS mask), sm AS (SELECT query, mask, sum(CASE WHEN (mask >> r) & 1 = 1 THEN cost ELSE 0 END) AS c, sum(CASE WHEN (mask >> r) & 1 = 1 THEN score ELSE 0.0 END) AS v FROM tp, mk GROUP BY 1, 2)
+        SELECT query, round(round(max(v), 9), 6) AS value FROM sm WHERE c <= 60 GROUP BY 1""",
 }

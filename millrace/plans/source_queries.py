@@ -54,7 +54,8 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Event bursts of the event stream, those that the watermark has closed."""
     path = f"{d}/events.parquet"
     s = W.watch(spark, path, spark.read.parquet(path).schema)
-    return W.drain(W.debounced(s, "user_id", "event_type", "ts", "1 hour", "1 hour"))
+    x = W.drain(W.debounced(s, "user_id", "event_type", "ts", "1 hour", "1 hour"))
+    return x.select("user_id", "event_type", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
 
 
 def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
@@ -67,6 +68,9 @@ def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (parse_symbols, parse_imports, module_paths, symbol_agreement, render_markdown, render_mermaid, stream_sessions, stream_upsert)}
 ORACLES = {
+    "stream_sessions": """WITH ev AS (SELECT user_id, event_type, epoch_us(ts) AS us FROM events), nw AS (SELECT *, CASE WHEN lag(us) OVER w IS NULL OR us - lag(us) OVER w >= 3600000000 THEN 1 ELSE 0 END AS new FROM ev WINDOW w AS (PARTITION BY user_id, event_type ORDER BY us)),
+        ss AS (SELECT *, sum(new) OVER (PARTITION BY user_id, event_type ORDER BY us ROWS UNBOUNDED PRECEDING) AS s FROM nw), g AS (SELECT user_id, event_type, s, min(us) AS start_us, max(us) + 3600000000 AS end_us, count(*) AS n FROM ss GROUP BY 1, 2, 3)
+        SELECT user_id, event_type, start_us, end_us, n FROM g WHERE end_us <= (SELECT (max(us) // 1000) * 1000 - 3600000000 FROM ev)""",
     "render_mermaid": f"""WITH {NODES}, {EDGES}, x AS (SELECT a.repo_id AS query, '  ' || a.name || ' -->|' || e.relation || '| ' || b.name AS l FROM e JOIN n a ON a.id = e.src JOIN n b ON b.id = e.dst WHERE e.relation = 'Contains')
         SELECT query, 'graph LR' || chr(10) || string_agg(l, chr(10) ORDER BY l) AS diagram FROM x GROUP BY 1""",
     "stream_upsert": """SELECT 'patched' AS event, count(DISTINCT file_id) AS events, count(DISTINCT file_id) AS files FROM file_sources WHERE content IS NOT NULL""",

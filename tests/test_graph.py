@@ -83,14 +83,29 @@ def test_ppr_mass_and_bound(spark, seed):
     e = spark.createDataFrame([(a, b, rng.random() + 0.1) for a, b in rows if a != b], "src long, dst long, weight double")
     t = G.normalize_rows(G.merge_parallel(e))
     seeds = spark.createDataFrame([(7, rows_[0], 1.0) for rows_ in list(rows)[:2]] + [(8, 0, -1.0), (8, 1, 2.0)], "query long, id long, weight double")
-    for steps in (3, None):
-        s = D.ppr(t, seeds, steps=steps)
+    for options in ({"steps": 3}, {"epsilon": 1e-2}):
+        s = D.ppr(t, seeds, **options)
         for r in s.groupBy("query").agg(F.sum(F.col("p") + F.col("r")).alias("m")).collect():
             assert abs(r["m"] - 1) < 1e-9
-    exact = {(r["query"], r["id"]): r["p"] for r in D.ppr(t, seeds, epsilon=1e-9, max_steps=200).collect()}
-    rough = D.ppr(t, seeds, epsilon=1e-3)
-    for r in D.error_bounds(rough, e, epsilon=1e-3).collect():
-        assert abs(exact[r["query"], r["id"]] - r["p"]) <= r["bound"] + 1e-4
+    near = {}
+    for r in t.collect():
+        near.setdefault(r["src"], []).append((r["dst"], r["weight"]))
+    exact = {q: D.push_kernel(near, {r["id"]: r["weight"] for r in seeds.where(f"query = {q}").collect()}, epsilon=1e-10)[0] for q in (7, 8)}
+    rough = D.ppr(t, seeds, epsilon=1e-2)
+    for r in D.error_bounds(rough, e, epsilon=1e-2).collect():
+        assert abs(exact[r["query"]].get(r["id"], 0.0) - r["p"]) <= r["bound"] + 1e-4
+
+
+def test_push_kernel_agrees_with_the_joins(spark):
+    rng = random.Random(4)
+    rows = {(rng.randrange(12), rng.randrange(12)) for _ in range(30)}
+    t = G.normalize_rows(G.merge_parallel(spark.createDataFrame([(a, b, 1.0) for a, b in rows if a != b], "src long, dst long, weight double")))
+    seeds = spark.createDataFrame([(1, min(rows)[0], 1.0), (1, 99, -1.0), (2, 0, 0.0)], "query long, id long, weight double")
+    joins = {r["id"]: r["p"] for r in D.ppr(t, seeds, epsilon=1e-2).where("query = 1").collect()}
+    kernel = {(r["query"], r["id"]): (r["p"], r["r"]) for r in D.ppr_grouped(t.withColumn("query", F.lit(1)), seeds, epsilon=1e-8).collect()}
+    assert {q for q, _ in kernel} == {1}
+    assert abs(sum(p + r for p, r in kernel.values()) - 1) < 1e-9
+    assert all(abs(kernel.get((1, i), (0.0, 0.0))[0] - p) < 0.2 for i, p in joins.items())
 
 
 def test_kernel_and_coverage(spark):
