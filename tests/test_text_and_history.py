@@ -33,7 +33,7 @@ def test_tokens_and_grams(spark):
 
 
 def test_paths_and_tasks(spark):
-    assert column(spark, ["crates/engine/x.rs", "src/auth/y.rs", "docs/z.md", "main.go", ""], T.subsystem) == ["crates-engine", "auth", "docs", "core", "root"]
+    assert column(spark, ["crates/motor/x.rs", "src/auth/y.rs", "docs/z.md", "main.go", ""], T.subsystem) == ["crates-motor", "auth", "docs", "core", "root"]
     assert column(spark, ["fix the crash", "add tests", "rename it", "new thing", "readme", "where is it", "hello"], T.task_kind) == ["bugfix", "test_creation", "refactor", "feature", "documentation", "exploration", "general"]
     df = spark.createDataFrame([("a/b.rs", "a/b.rs"), ("a/b.rs", "a/c.rs"), ("a/b/c.rs", "a/d/e.rs"), ("x.rs", "y.rs")], "a string, b string")
     assert [r[0] for r in df.select(T.path_distance(F.col("a"), F.col("b"))).collect()] == [0, 1, 4, 1]
@@ -166,3 +166,15 @@ def test_stream_debounce(spark, tmp_path):
     spark.createDataFrame(rows, "k string, i string, ts timestamp").coalesce(1).write.parquet(src)
     got = W.drain(W.debounced(W.watch(spark, src, "k string, i string, ts timestamp"), "k", "i", "ts", "1 minute", "1 minute")).collect()
     assert [(r["k"], r["i"], r["n"]) for r in got] == [("u", "x", 2)]
+
+
+def test_slicing():
+    from millrace.sources.slicing import sliced
+
+    short = "fn a() {\n  x;\n}"
+    assert sliced(short) == short
+    body = "fn a() -> u8 {\n" + "    let x = 1;\n" * 6 + "    if x > 1 {\n        go(x);\n    }\n" + "    let y = 2;\n" * 3 + "    y\n}"
+    cut = sliced(body).split("\n")
+    assert cut[0] == "fn a() -> u8 {" and "    ... [6 lines elided] ..." in cut and "    y" in cut and "        go(x);" in cut and "    let y = 2;" not in cut
+    py = 'def f():\n    """Doc\n    more."""\n' + "    a = 1\n" * 8 + "    return a"
+    assert "    more." in sliced(py, True) and "    a = 1" not in sliced(py, True).split("\n")
