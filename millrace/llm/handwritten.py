@@ -15,12 +15,14 @@ Defined cases: null content and other extensions are no cases; empty and
 comment-only files are hand-written; a repeated load counts once; files without
 a repository count as of none; an empty table gives an empty result. Scale:
 contents are read once; only shingle sets of distinct classes are shuffled; a
-bucket of any size is a sorted stream linked to its leaders, never by all its pairs.
+bucket of any size is a sorted stream whose linked classes are not compared again.
 """
 
 from __future__ import annotations
 
+import os
 import re
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +38,8 @@ from .leakage import shingles as word_shingles
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 16, 4
 #: How far below the similarity an estimate may lie for the pair to be verified.
 SLACK = 0.2
+#: Bytes of the shingle sets of one bucket that stay in memory.
+SPOOL = 64 << 20
 #: Share of distinct shingles below which a text repeats itself; share of literal tokens from which it is data.
 REPEATING, LITERAL = 0.2, 0.85
 #: Least tokens of a repeating family member, least characters of a body of data and of a minified text.
@@ -223,42 +227,130 @@ def described(files: DataFrame) -> DataFrame:
     return materialize(arrow_map(spread(files.select("file_id", "repo_id", "file_path", "content")), rows, _FILES))
 
 
-def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, class, sig) arrive sorted by key and class. Each class is compared by its signature with
-    the leaders of its bucket; it gives a candidate with every leader that may hold it, or leads itself."""
-    key, leaders, ids = None, np.zeros((0, BANDS * ROWS), dtype=np.uint32), []
+class _Bucket:
+    """Classes of one bucket, linked as single linkage at SIMILARITY would link them.
+
+    A class verified against a leader lies in the leader's ball; any other leads itself. What is
+    linked already is not compared again, and a ball is searched only for a class whose estimate
+    to its leader lets it be similar to a member (Jaccard distance is a metric: two members'
+    distances of 0.2 make 0.4 at most). Shingle sets beyond SPOOL are kept on disk.
+    """
+
+    def __init__(self) -> None:
+        self.sets = tempfile.SpooledTemporaryFile(max_size=SPOOL)  # noqa: SIM115
+        self.clear()
+
+    def clear(self) -> None:
+        self.sets.seek(0)
+        self.sets.truncate()
+        self.leaders = _Members()
+        self.balls: dict[int, _Members] = {}
+        self.parent: list[int] = []
+
+    def root(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
+        return x
+
+    def _similar(self, h: np.ndarray, at: int, n: int) -> bool:
+        self.sets.seek(at)
+        other = np.frombuffer(self.sets.read(8 * n), dtype=np.uint64)
+        common = len(np.intersect1d(h, other, assume_unique=True))
+        return common >= SIMILARITY * (n + len(h) - common)
+
+    def add(self, cls: int, sig: np.ndarray, h: np.ndarray) -> list[int]:
+        """Classes that `cls` is linked to: one of each group of linked classes that holds a similar one."""
+        odd = parities(h)
+        agree = self.leaders.agree(sig)
+        linked, joined, home = [], set(), None
+        for x in self.leaders.near(agree, odd, len(h)):
+            if self.root(x) not in joined and self._similar(h, *self.leaders.where[x]):
+                joined.add(self.root(x))
+                linked.append(self.leaders.ids[x])
+                home = x if home is None else home
+        for x, ball in self.balls.items():
+            if agree[x] >= 2 * SIMILARITY - 1 - SLACK and self.root(x) not in joined:
+                for y in ball.near(ball.agree(sig), odd, len(h)):
+                    if self._similar(h, *ball.where[y]):
+                        joined.add(self.root(x))
+                        linked.append(ball.ids[y])
+                        break
+        if home is None:
+            home = len(self.parent)
+            self.parent.append(home)
+            members = self.leaders
+        else:
+            members = self.balls.setdefault(home, _Members())
+        for x in joined:
+            self.parent[x] = self.root(home)
+        members.append(cls, sig, odd, (self.sets.seek(0, os.SEEK_END), len(h)))
+        self.sets.write(h.tobytes())
+        return linked
+
+
+def parities(h: np.ndarray) -> np.ndarray:
+    """Whether an odd number of the hashes falls on each of 1,024 places, packed. Two sets differ
+    in at least as many hashes as these bits differ, so it rules pairs out without their sets."""
+    return np.packbits((np.bincount((h & np.uint64(1023)).astype(np.int64), minlength=1024) & 1).astype(np.uint8)).view(np.uint64)
+
+
+class _Members:
+    """Signatures (low halves) and parities of some classes, the sizes of their sets and where these lie."""
+
+    def __init__(self) -> None:
+        self.sigs, self.odd, self.sizes = np.zeros((4, BANDS * ROWS), dtype=np.uint16), np.zeros((4, 16), dtype=np.uint64), np.zeros(4)
+        self.ids: list[int] = []
+        self.where: list[tuple[int, int]] = []
+
+    def append(self, cls: int, sig: np.ndarray, odd: np.ndarray, where: tuple[int, int]) -> None:
+        n = len(self.ids)
+        if n == len(self.sizes):
+            self.sigs, self.odd, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sigs, self.odd, self.sizes))
+        self.sigs[n], self.odd[n], self.sizes[n] = sig, odd, where[1]
+        self.ids.append(cls)
+        self.where.append(where)
+
+    def agree(self, sig: np.ndarray) -> np.ndarray:
+        """Estimated similarity to each, never less than by whole values."""
+        return np.count_nonzero(self.sigs[: len(self.ids)] == sig, axis=1) / (BANDS * ROWS)
+
+    def near(self, agree: np.ndarray, odd: np.ndarray, n: int) -> list[int]:
+        """Those to be verified: of an estimate of SIMILARITY less SLACK and not ruled out by their parities."""
+        x = np.flatnonzero(agree >= SIMILARITY - SLACK)
+        differ = np.bitwise_count(self.odd[x] ^ odd).sum(axis=1)
+        return x[differ * (1 + SIMILARITY) <= (1 - SIMILARITY) * (self.sizes[x] + n) + 1e-6].tolist()
+
+
+def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, class, sig, hashes) arrive sorted by key and class; links verified on the whole sets leave."""
+    key, bucket = None, _Bucket()
     for b in batches:
-        sigs = b.column(2).flatten().to_numpy().reshape(-1, BANDS * ROWS).astype(np.uint32)
+        sigs = b.column(2).flatten().to_numpy().reshape(-1, BANDS * ROWS).astype(np.uint16)
         a_out, b_out = [], []
-        for k, cls, sig in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), sigs, strict=True):
+        for i, (k, cls) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
             if k != key:
-                key, leaders, ids = k, sig[None, :], [cls]
-                continue
-            near = np.flatnonzero((leaders == sig).mean(axis=1) >= SIMILARITY - SLACK)
-            if len(near):
-                a_out += [ids[x] for x in near]
-                b_out += [cls] * len(near)
-            else:
-                leaders, ids = np.vstack([leaders, sig]), [*ids, cls]
+                key = k
+                bucket.clear()
+            linked = bucket.add(cls, sigs[i], b.column(3)[i].values.to_numpy().view(np.uint64))
+            a_out += linked
+            b_out += [cls] * len(linked)
         if a_out:
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
 
-def links(files: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def links(files: DataFrame) -> DataFrame:
     """(a, b) of similar classes, each verified on the whole shingle sets.
 
-    A bucket is read as a sorted stream: only its leaders, which are unlike each
-    other, are kept in memory, so a bucket may hold any number of classes.
+    Classes of one bucket with a similarity of SIMILARITY or more are linked,
+    directly or over others. A bucket is read as a sorted stream, so it may hold
+    any number of classes: some 400 bytes of each are in memory, its set is on disk.
     """
     classes = materialize(files.where("class is not null").select("class", "hashes", "sig", "bands").dropDuplicates(["class"]))
     keys = classes.select("class", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    rows = keys.join(shared, "key", "left_semi").join(classes.select("class", "sig"), "class").select("key", "class", "sig")
-    candidates = rows.repartition("key").sortWithinPartitions("key", "class").mapInArrow(_lead, "a bigint, b bigint").distinct()
-    sets = classes.select("class", "hashes")
-    both = candidates.join(sets.select(F.col("class").alias("a"), "hashes"), "a").join(sets.select(F.col("class").alias("b"), F.col("hashes").alias("other")), "b")
-    common = F.size(F.array_intersect("hashes", "other"))
-    return materialize(both.where(common >= similarity * (F.size("hashes") + F.size("other") - common)).select("a", "b"))
+    rows = keys.join(shared, "key", "left_semi").join(classes.select("class", "sig", "hashes"), "class").select("key", "class", "sig", "hashes")
+    return materialize(rows.repartition("key").sortWithinPartitions("key", "class").mapInArrow(_link, "a bigint, b bigint").distinct())
 
 
 def families(files: DataFrame) -> DataFrame:

@@ -97,6 +97,36 @@ def test_links_are_those_of_brute_force(spark):
     assert own == {i: root(i) for i in range(len(sets))}
 
 
+def test_links_among_classes_that_resemble_their_leader(spark):
+    """One bucket of classes most of which are 0.6 to 0.8 similar to its first one."""
+    import numpy as np
+    import xxhash
+
+    r = random.Random(5)
+    first = list(range(100))
+    swap = lambda x, n, at: sorted({*x} - set(r.sample(sorted(x), n)) | set(range(at, at + n)))
+    sets = [first]
+    for i in range(12):  # pairs: alike to each other, not to the first
+        sets.append(swap(first, 15, 1000 + 100 * i))
+        sets.append(swap(sets[-1], 5, 1050 + 100 * i))
+    sets.append(swap(first, 9, 5000))  # in the first one's ball
+    sets.append(swap(sets[-1], 9, 5100))  # alike to that member only
+    rows = []
+    for i, x in enumerate(sets):
+        h = np.array([xxhash.xxh64_intdigest(str(v)) for v in x], dtype=np.uint64)
+        h.sort()
+        rows.append((i, h.view(np.int64).tolist(), H.signature(h).tolist(), [7]))
+    df = spark.createDataFrame(rows, "class long, hashes array<long>, sig array<long>, bands array<long>")
+    own = {r["class"]: r["family"] for r in H.families(df).collect()}
+    want = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len({*a} & {*sets[j]}) >= 0.8 * len({*a} | {*sets[j]}):
+                old, new = max(want[i], want[j]), min(want[i], want[j])
+                want = [new if x == old else x for x in want]
+    assert len(set(want)) == 13 and own == dict(enumerate(want))
+
+
 @pytest.mark.parametrize(("line", "want"), [("@generated by x", (True, False)), ("Upstream: A, tag v1.2.3 (imported, keep in sync)", (False, True)), ("quartz 6.25, copyright its authors", (False, True)), ("All rights reserved.", (False, False)), ("replaces the generated client", (False, False))])
 def test_declared(line, want):
     assert H.declared([line]) == want
