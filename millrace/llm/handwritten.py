@@ -8,8 +8,8 @@ members declare about themselves (generator and licence notices, folders of
 third-party code), how they spread within and over repositories, how much they
 repeat themselves, and whether anything but literals is in them. A family whose
 members are declared generated marks its silent members, one that is declared
-or copied over repositories is vendored, a literal-only one is data, and
-minified text shows in its own shape.
+or copied over repositories (the same names and literals in the same form) is
+vendored, a literal-only one is data, and minified text shows in its own shape.
 
 Defined cases: null content and other extensions are no cases; empty and
 comment-only files are hand-written; a repeated load counts once; files without
@@ -46,6 +46,9 @@ REPEATING, LITERAL = 0.2, 0.85
 FAMILY_TOKENS, DATA_CHARS, MINIFIED_CHARS = 40, 600, 200
 #: Share of declared members from which a family passes its declaration on.
 DECLARED = 0.3
+#: Least tokens of a copy that was changed, share of its names and literals that copies elsewhere must have: the
+#: masked form alone is shared by chance between short or stereotyped files.
+COPY_TOKENS, COPIED = 80, 0.75
 
 _MULTIPLIERS = np.array([xxhash.xxh64_intdigest(f"row {j}") | 1 for j in range(BANDS * ROWS)], dtype=np.uint64)
 
@@ -121,6 +124,8 @@ def evidence(path: str, content: str) -> dict | None:
     fam = language if language in _TOKEN else "js"
     text = content.lstrip("\ufeff").replace("\r\n", "\n")
     tokens: list[str] = []
+    written: list[str] = []  # the tokens unmasked
+    names_of: set[str] = set()
     comments: list[tuple[int, int]] = []
     literal_tokens = other_tokens = separator_tokens = 0
     literal_chars = comment_chars = 0
@@ -134,11 +139,14 @@ def evidence(path: str, content: str) -> dict | None:
             continue
         if first_code == len(text):
             first_code = m.start()
+        written.append(m.group())
         if k == "s" or k == "q":
+            names_of.add(m.group())
             tokens.append("S")
             literal_tokens += 1
             literal_chars += m.end() - m.start()
         elif k == "n":
+            names_of.add(m.group())
             tokens.append("0")
             literal_tokens += 1
             literal_chars += m.end() - m.start()
@@ -147,6 +155,7 @@ def evidence(path: str, content: str) -> dict | None:
             if w in _KEYWORDS:
                 tokens.append(w)
             else:
+                names_of.add(w)
                 tokens.append("I")
                 names += 1
                 short += len(w) <= 3
@@ -181,7 +190,8 @@ def evidence(path: str, content: str) -> dict | None:
         "literal": literal_tokens > 0 and literal_chars >= min(DATA_CHARS, rest) * 0.3 and rest >= DATA_CHARS
         and (literal_tokens / max(literal_tokens + other_tokens, 1) >= LITERAL or literal_chars >= LITERAL * rest),
         "repeating": n >= FAMILY_TOKENS and len(h) / n <= REPEATING,
-        "raw": xxhash.xxh64_intdigest(text) if n >= FAMILY_TOKENS else None,
+        "raw": xxhash.xxh64_intdigest("\0".join(written)) if n >= FAMILY_TOKENS else None,
+        "names": [xxhash.xxh64_intdigest(x) for x in names_of] if n >= COPY_TOKENS else [],
     }
 
 
@@ -202,7 +212,7 @@ def _signed(x: int) -> int:
 
 _FILES = (
     "file_id bigint, repo_id bigint, class bigint, n_tokens int, generated boolean, named_generated boolean, vendored boolean, minified boolean, literal boolean, repeating boolean, raw bigint, "
-    "hashes array<bigint>, sig array<bigint>, bands array<bigint>"
+    "names array<bigint>, hashes array<bigint>, sig array<bigint>, bands array<bigint>"
 )
 
 
@@ -221,7 +231,7 @@ def described(files: DataFrame) -> DataFrame:
             sig = signature(h) if len(h) else None
             yield (
                 fid, repo, cls, e["n_tokens"], e["generated"], e["named_generated"], e["vendored"], e["minified"], e["literal"], e["repeating"], None if e["raw"] is None else _signed(e["raw"]),
-                h.view(np.int64).tolist(), [] if sig is None else sig.tolist(), [] if sig is None else band_keys(sig),
+                [_signed(x) for x in e["names"]], h.view(np.int64).tolist(), [] if sig is None else sig.tolist(), [] if sig is None else band_keys(sig),
             )
 
     return materialize(arrow_map(spread(files.select("file_id", "repo_id", "file_path", "content")), rows, _FILES))
@@ -373,30 +383,48 @@ def families(files: DataFrame) -> DataFrame:
     return own.join(labels.withColumnRenamed("family", "linked"), "class", "left").select("class", F.coalesce("linked", "family").alias("family"))
 
 
+def shared_names(files: DataFrame) -> DataFrame:
+    """(file_id, share) of files (file_id, repo_id, family, vendored, names): the share of a file's names and
+    literals that its family has in another repository too, or, for a silent file, in a declared copy."""
+    w = files.select("file_id", "repo_id", "family", "vendored", F.explode("names").alias("name"))
+    seen = w.groupBy("family", "name").agg(F.min("repo_id").alias("low"), F.max("repo_id").alias("high"), F.max("vendored").alias("said"))
+    shared = F.coalesce(F.col("low") < F.col("high"), F.lit(False)) | (F.col("said") & ~F.col("vendored"))
+    return w.join(seen, ["family", "name"]).groupBy("file_id").agg(F.avg(shared.cast("double")).alias("share"))
+
+
 def classified(files: DataFrame) -> DataFrame:
     """(file_id, repo_id, family, reason) of every source file; `reason` is null for hand-written ones."""
     d = described(files)
-    one = d.drop("hashes", "sig", "bands").dropDuplicates(["file_id"])
-    one = one.join(families(d), "class", "left")
+    one = d.drop("names", "hashes", "sig", "bands").dropDuplicates(["file_id"]).withColumn("said", F.col("generated") | F.col("named_generated"))
+    one = materialize(one.join(families(d), "class", "left"))
     flag = lambda c: F.sum(F.col(c).cast("int"))
     per_repo = one.where("family is not null").groupBy("family", "repo_id").agg(
-        F.count("*").alias("n"), flag("generated").alias("generated"), flag("named_generated").alias("named"), flag("vendored").alias("vendored"), flag("literal").alias("literal"), flag("repeating").alias("repeating")
+        F.count("*").alias("n"), flag("generated").alias("generated"), flag("named_generated").alias("named"), flag("said").alias("said"), flag("vendored").alias("vendored"), flag("literal").alias("literal"), flag("repeating").alias("repeating")
     )
     family = per_repo.groupBy("family").agg(
-        F.sum("n").alias("f_n"), F.max("n").alias("f_most"), F.count("*").alias("f_repos"), F.sum("generated").alias("f_generated"), F.sum("named").alias("f_named"),
+        F.sum("n").alias("f_n"), F.max("n").alias("f_most"), F.countDistinct("repo_id").alias("f_repos"), F.sum("generated").alias("f_generated"), F.sum("named").alias("f_named"), F.sum("said").alias("f_said"),
         F.sum("vendored").alias("f_vendored"), F.sum("literal").alias("f_literal"), F.sum("repeating").alias("f_repeating"),
     )
+    local = per_repo.where("said > 1").select("family", F.col("repo_id").alias("said_repo"), F.col("said").alias("r_said"))
     copies = one.where("raw is not null").groupBy("raw").agg(F.countDistinct("repo_id").alias("copies"))
-    j = one.join(family, "family", "left").join(copies, "raw", "left")
+    wide = family.where("f_n > 1 and (f_repos > 1 or f_vendored > 0)").select("family")
+    members = one.join(wide, "family", "left_semi").select("file_id", "repo_id", "family", "vendored")
+    share = shared_names(members.join(d.select("file_id", "names").dropDuplicates(["file_id"]), "file_id"))
+    j = one.join(family, "family", "left").join(copies, "raw", "left").join(share, "file_id", "left")
+    j = j.join(local, (j["family"] == local["family"]) & j["repo_id"].eqNullSafe(F.col("said_repo")), "left").drop(local["family"])
     family_generated = (F.col("f_n") > 1) & ((F.col("f_generated") + F.col("f_named") >= DECLARED * F.col("f_n")) | ((F.col("f_most") >= 3) & (F.col("f_repeating") == F.col("f_n"))))
+    # one declared member may be alike by chance: two of the same repository or three of any count
+    told = (F.col("n_tokens") >= FAMILY_TOKENS) & (F.col("f_said") >= DECLARED * F.col("f_n")) & (F.col("r_said").isNotNull() | (F.col("f_said") >= 3))
     family_literal = F.col("f_literal") * 2 > F.col("f_n")
+    copied = (F.coalesce("copies", F.lit(0)) > 1) | (F.coalesce("share", F.lit(0.0)) >= COPIED)
     reason = (
         F.when(F.col("minified"), "minified")
         .when(F.col("literal") & family_literal, "data")
-        .when(F.col("vendored") | ((F.col("copies") > 1) & (F.col("f_vendored") * 2 > F.col("f_n"))), "vendored")
+        .when(F.col("vendored") | (copied & (F.col("f_vendored") * 2 > F.col("f_n"))), "vendored")
         .when(F.col("generated") | F.col("named_generated"), "generated")
         .when(F.col("repeating") & F.coalesce(family_generated, F.lit(False)), "generated")
-        .when(F.col("copies") > 1, "vendored")
+        .when(F.coalesce(told, F.lit(False)), "generated")
+        .when(copied, "vendored")
     )
     return j.select("file_id", "repo_id", "family", reason.alias("reason"))
 

@@ -62,6 +62,25 @@ def test_operator(spark):
     assert H.classified(df.limit(0)).count() == 0
 
 
+def test_families_pass_on_what_they_show(spark):
+    import re
+
+    names = sorted(set(re.findall(r"\b[a-h]{8}\b", hand(50))))
+    changed = re.sub(rf"\b{names[0]}\b", "renamed", hand(50))
+    other = lambda text, n: re.sub(r"\b[a-h]{8}\b", lambda m: f"{m.group()[::-1]}{n}", re.sub(r"\b\d+\b", lambda m: f"{m.group()}{n}", text))
+    files = [
+        (1, 1, "src/a.js", "// first header 1.2.0\n" + hand(50)), (2, 2, "lib/b.js", "// another one 1.3.1\n// and more\n" + changed),  # copies, header and an identifier changed
+        (3, 1, "src/c.js", hand(51)), (4, 2, "src/d.js", other(hand(51), 7)),  # of one form by chance: nothing else is shared
+        (5, 3, "src/e.js", "// @generated by x\n" + hand(52)), (6, 3, "src/f.js", "// @generated by x\n" + other(hand(52), 1)), (7, 3, "src/g.js", other(hand(52), 2)),  # a silent member
+        (8, 4, "src/h.js", "// @generated by x\n" + hand(53)), (9, 5, "src/i.js", other(hand(53), 3)),  # one declared member elsewhere says nothing
+        (10, 6, "vendor/j.js", hand(54)), (11, 6, "src/k.js", "// ours\n" + hand(54).replace("return", "return ", 1)),  # a silent copy beside the declared one
+        (12, 7, "src/l.js", hand(55).replace("  ", "")[:240]), (13, 8, "src/m.js", "// later\n" + hand(55).replace("  ", "")[:240]),  # short, only the header changed
+    ]
+    df = spark.createDataFrame(files, "file_id long, repo_id long, file_path string, content string")
+    got = {r["file_id"]: r["reason"] for r in H.classified(df).collect()}
+    assert got == {1: "vendored", 2: "vendored", 3: None, 4: None, 5: "generated", 6: "generated", 7: "generated", 8: "generated", 9: None, 10: "vendored", 11: "vendored", 12: "vendored", 13: "vendored"}
+
+
 def test_links_are_those_of_brute_force(spark):
     r = random.Random(3)
     base = [list(r.sample(range(1000), 60)) for _ in range(6)]
