@@ -11,7 +11,8 @@ the candidates above the threshold are redacted in place.
 
 Defined cases: null and empty content has no candidates; a repeated load of a
 file is reported once; a value over several rows belongs to the row where it
-begins; line ends, byte-order marks and everything outside the value stay as
+begins; a literal beyond `LONG` is read as a text with settings of its own;
+line ends, byte-order marks and everything outside the value stay as
 they are; an empty table gives an empty result.
 
 Scale: one pass extracts candidates (no shuffle), the character counts are
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import math
 import re
 from collections.abc import Iterator
@@ -41,6 +43,8 @@ SAMPLE_ROWS = 20_000
 THRESHOLD = 0.5
 #: Share of the sample that is held out for the calibration, as 1 in so many.
 HELD_OUT = 5
+#: Characters of a literal from which it is read as a text of its own, with all the settings in it.
+LONG = 20_000
 
 # -- lexical rules -----------------------------------------------------------
 
@@ -80,6 +84,7 @@ _URL = re.compile(r"^[a-z][a-z0-9+.-]*://", re.I)
 _USERINFO = re.compile(r"[a-z][a-z0-9+.-]*://([^\s/:@\"'`<>]*):([^\s/@\"'`]+)@", re.I)
 _QUERY = re.compile(r"[?&;](sig|signature|token|access_token|api_?key|key|auth|password|secret|x-amz-signature|code)=([^&\s\"'`#]+)", re.I)
 _INNER = re.compile(r"(?:^|[\s;,&])(password|passwd|pwd|pass|passwort|secret|token|api_?key|access_?key)\s*=\s*([^\s;,&\"'`()]+)(?=$|[\s;,&\"'`])", re.I)
+_PAIR = re.compile(r"""\\?["']([A-Za-z_][\w.-]{0,80})\\?["']\s*:\s*\\?["']([^"'\\\n]{3,})\\?["']""")
 _SCHEME = re.compile(r"\b(Bearer|Basic|Token|Digest)\s+([A-Za-z0-9._~+/=-]{8,})")
 _CURL_USER = re.compile(r"(?:^|\s)(?:-u|--user)[ =]([\w.-]+):([^\s\"']+)")
 _COMMENT_VALUE = re.compile(
@@ -147,8 +152,6 @@ class Extractor:
         self.language = language_of_path(path)
 
     def row(self, at: int) -> int:
-        import bisect
-
         return bisect.bisect_right(self.starts, at) - 1
 
     def add(self, start: int, end: int, key: str, where: str, value: str | None = None, spans: list | None = None, decoded: str = "", env: bool = False) -> None:
@@ -247,11 +250,11 @@ class Extractor:
             return
         spans = p["spans"]
         a, b = spans[0][0], spans[-1][1]
-        if self._inside(taken, a, b):
-            return
         value = "".join(self.text[x:y] for x, y in spans)
         stripped = value.strip()
-        if len(stripped) < 3 or len(stripped) > 20_000 and "://" not in stripped:
+        if len(stripped) > LONG and self._long(value, spans, taken):
+            return
+        if self._inside(taken, a, b) or len(stripped) < 3:
             return
         before = re.sub(r"(?:concat!|join)\(\s*$", "", p["before"])
         call = bool(_B64_CALL.search(before))
@@ -260,6 +263,54 @@ class Extractor:
         key, env = self._key(before)
         self._value(a, b, key, value, spans, "literal", env, call)
 
+    def _long(self, value: str, spans: list[tuple[int, int]], taken: list[tuple[int, int]]) -> bool:
+        """Everything in a long literal, or in several that make one, that may hold a credential; whether there is any."""
+        starts = [0]
+        for x, y in spans:
+            starts.append(starts[-1] + y - x)
+        used: list[tuple[int, int]] = []
+
+        def part(x: int, y: int, key: str, where: str, decoded: str = "") -> None:
+            at = range(max(bisect.bisect_right(starts, x) - 1, 0), bisect.bisect_left(starts, y))
+            pieces = [(spans[i][0] + max(x - starts[i], 0), spans[i][0] + min(y, starts[i + 1]) - starts[i]) for i in at]
+            if pieces and not any(self._inside(taken, *piece) for piece in pieces):
+                used.append((x, y))
+                self.add(pieces[0][0], pieces[-1][1], key, where, value=value[x:y], spans=pieces, decoded=decoded)
+
+        for i in (m.start() for m in re.finditer("://", value)):  # from the mark, as names of any length may stand before it
+            begin = i - len(re.search(r"[a-z0-9+.-]*$", value[max(0, i - 40) : i], re.I).group())
+            if m := _USERINFO.search(value, begin, i + 4096):
+                if m.start() < i < m.end():
+                    part(m.start(2), m.end(2), "url", "userinfo")
+        for m in _QUERY.finditer(value):
+            part(m.start(2), m.end(2), m.group(1), "query")
+        for m in _SCHEME.finditer(value):
+            part(m.start(2), m.end(2), m.group(1), "scheme", _decode(m.group(2)) if m.group(1) == "Basic" else "")
+        for m in _CURL_USER.finditer(value):
+            part(m.start(2), m.end(2), "password", "userinfo")
+        for m in _FORMATS.finditer(value):
+            part(m.start(), m.end(), "", "format")
+        settings = [(m.start(2), m.end(2), m.group(1), "inner") for m in _INNER.finditer(value)]
+        settings += [(m.start(2), m.end(2), m.group(1), "config") for m in _PAIR.finditer(value) if _SECRET_KEY.search(snake(m.group(1)))]
+        begin = 0
+        for stop in [*re.finditer(r"\r?\n|(?:\\r)?\\n", value), None]:
+            end = stop.start() if stop else len(value)
+            m = _CONFIG.match(value[begin:end])
+            if m and m.group("pre").rstrip()[-1] in ":=>" and _SECRET_KEY.search(snake(m.group("k"))):
+                x, y = begin + m.start("v"), begin + m.end("v")
+                if y - x >= 2 and value[x] in "\"'" and value[y - 1] == value[x]:
+                    x, y = x + 1, y - 1
+                if y - x >= 3 and "://" not in value[x:y]:
+                    settings.append((x, y, m.group("k"), "config"))
+            begin = stop.end() if stop else end
+        parts = sorted(used)
+        last = [x for x, _ in parts]
+        for x, y, key, where in settings:
+            i = bisect.bisect_left(last, y) - 1
+            if i < 0 or parts[i][1] <= x:  # else it holds a part that is found already
+                part(x, y, key, where)
+        return bool(used)
+
     def _value(self, a: int, b: int, key: str, value: str, spans: list[tuple[int, int]], where: str, env: bool = False, encoded: bool = False) -> None:
         """One value with its parts that may hold a credential."""
         text = self.text
@@ -606,15 +657,27 @@ def markov_counts(candidates: DataFrame) -> np.ndarray:
     return counts
 
 
+def with_ratio(candidates: DataFrame, ratio: np.ndarray) -> DataFrame:
+    """`candidates` with the mean Markov ratio of their values."""
+
+    @F.pandas_udf("double")
+    def mean(value: pd.Series) -> pd.Series:
+        return pd.Series([mean_ratio(v or "", ratio) for v in value], dtype=float)
+
+    return candidates.withColumn("ratio", mean("value"))
+
+
 def train(candidates: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[Model, np.ndarray]:
     ratio = log_ratio_table(markov_counts(candidates))
     order = F.xxhash64("file_id", "start_row", "value")
     parts = [candidates.where(F.col("weak") == k).select("f", "value", "weak", order.alias("o")).orderBy("o", "value").limit(sample_rows) for k in (0, 1)]
-    got = parts[0].unionByName(parts[1]).toPandas().sort_values(["o", "value"], kind="stable")
+    # values may be long: only their ratios come to the driver
+    got = with_ratio(parts[0].unionByName(parts[1]), ratio).drop("value").toPandas()
+    got = got.assign(k=got["f"].map(tuple)).sort_values(["o", "ratio", "k"], kind="stable")
     if not len(got):
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0)), ratio
     x = np.stack([np.asarray(v, dtype=float) for v in got["f"]])
-    x[:, _AT["markov"]] = [mean_ratio(v or "", ratio) for v in got["value"]]
+    x[:, _AT["markov"]] = got["ratio"]
     return fit(x, got["weak"].to_numpy(dtype=float)), ratio
 
 
