@@ -50,6 +50,11 @@ LONG = 20_000
 
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*?)(PRIVATE KEY|PUBLIC KEY|CERTIFICATE)( BLOCK)?-----")
 _PEM_END = re.compile(r"-----END [A-Z0-9 ]*-----")
+#: What follows a marker that nothing ends: header rows, then rows of base64 with what a row, comment or joined literal puts between.
+_PEM_OPEN = re.compile(
+    r"(?:\s|\\[nr]|(?:Proc-Type|DEK-Info|Version|Comment): [^\n\\\"'`]*)*"
+    r"(?:(?:\s|\\[nr]|//|\#|\*|[\"'`][ \t]*\+?\s*[\"'`])*+(?:[A-Za-z0-9+/]{40,}+={0,2}|(?=[A-Za-z0-9+/]*[0-9+/])[A-Za-z0-9+/]{16,}+={0,2}|[A-Za-z0-9+/]{2,}+={1,2})(?=\s|\\[nr]|[\"'`]|\Z))*"
+)
 
 #: Issued formats (fixed values: public prefixes of tokens).
 _FORMATS = re.compile(
@@ -172,8 +177,9 @@ class Extractor:
         while m := _PEM.search(self.text, at):
             end = _PEM_END.search(self.text, m.end())
             again = _PEM.search(self.text, m.end())
-            stop = end.end() if end and not (again and again.start() < end.start()) else min(m.end() + 8192, again.start() if again else len(self.text))
-            body = self.text[m.end() : end.start() if end else stop]
+            ended = end is not None and not (again and again.start() < end.start())
+            stop = end.end() if ended else _PEM_OPEN.match(self.text, m.end()).end()
+            body = self.text[m.end() : end.start() if ended else stop]
             spans, p = [], m.end()
             for piece in re.finditer(r"(?:[A-Za-z0-9+/=]{8,}|\\n)", body):
                 if piece.group() != "\\n":
