@@ -168,6 +168,23 @@ def test_stream_debounce(spark, tmp_path):
     assert [(r["k"], r["i"], r["n"]) for r in got] == [("u", "x", 2)]
 
 
+def test_stream_sessions_keep_rows_of_any_file(spark, tmp_path):
+    import datetime as dt
+    import os
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from millrace.plans.source_queries import stream_sessions
+
+    os.makedirs(tmp_path / "events.parquet")
+    for i in range(303):  # the last files hold the earliest rows
+        path = tmp_path / "events.parquet" / f"{i:03}.parquet"
+        pq.write_table(pa.table({"user_id": [1], "event_type": ["x"], "ts": pa.array([dt.datetime(2024, 3, 1) - dt.timedelta(hours=12 * i)], pa.timestamp("us"))}), path)
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+    assert stream_sessions(spark, str(tmp_path)).count() == 302  # all but the open one
+
+
 def test_slicing():
     from millrace.sources.slicing import sliced
 
