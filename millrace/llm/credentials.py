@@ -1,23 +1,28 @@
 """Problem 1: credentials written out in source code and configuration.
 
 Every literal, configuration value and comment word group of a file is a
-candidate with the identifiers around it and features of its path. Two
-character Markov models (random-looking and word-like) are counted over all
-candidates of the corpus; their likelihood ratio joins the other features. A
-logistic regression is fitted on weakly labelled candidates (known formats and
-plain `secret name = value` patterns against placeholders, digests and
-everything else that a pattern can tell), calibrated on a held-out part, and
-the candidates above the threshold are redacted in place.
+candidate. A logistic regression decides over it from three kinds of features:
+the character Markov likelihood of the value (two models, of weakly positive and
+of all other candidates, counted over the whole corpus), the identifiers around
+it (words of the name it is given to, of the call or comment it stands in, the
+syntactic place) and its path. The words are hashed to `WORDS` columns; no weight
+is set by hand. Patterns (issued formats, `secret name = value`, placeholders,
+digests) only label candidates for the fit, which is calibrated on predictions
+for parts that a fit has not seen. Candidates above the threshold are redacted in
+place, but for values that by an exact check only stand for a credential
+(placeholders, references to an environment, public keys).
 
 Defined cases: null and empty content has no candidates; a repeated load of a
 file is reported once; a value over several rows belongs to the row where it
-begins; a literal beyond `LONG` is read as a text with settings of its own;
-line ends, byte-order marks and everything outside the value stay as
-they are; an empty table gives an empty result.
+begins; a literal of several words is also read as a text with settings of its
+own; line ends, byte-order marks and everything outside the value stay as they
+are; without a positive and a negative label nothing is found but what the
+patterns label; an empty table gives an empty result.
 
 Scale: one pass extracts candidates (no shuffle), the character counts are
 aggregated to at most two alphabets squared, and the regression is fitted on
-a bounded sample (`SAMPLE_ROWS`). Whole contents are never shuffled by key.
+a bounded sample (`SAMPLE_ROWS`). Redaction is a second pass over the contents,
+which are never shuffled by key.
 """
 
 from __future__ import annotations
@@ -25,13 +30,15 @@ from __future__ import annotations
 import base64
 import binascii
 import bisect
+import functools
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,12 +46,14 @@ from .common import arrow_map, language_of_path, materialize, spread, table
 
 #: Weakly labelled candidates per class that the regression is fitted on, taken in hash order.
 SAMPLE_ROWS = 20_000
-#: Calibrated probability from which a candidate counts as a credential.
-THRESHOLD = 0.5
-#: Share of the sample that is held out for the calibration, as 1 in so many.
-HELD_OUT = 5
-#: Characters of a literal from which it is read as a text of its own, with all the settings in it.
-LONG = 20_000
+#: Calibrated probability from which a candidate counts as a credential; a missed one costs more than a masked value.
+THRESHOLD = 0.3
+#: Parts of the sample; each is predicted by a fit on the others for the calibration.
+FOLDS = 4
+#: Columns that the words around a candidate and of its path are hashed to, and the ridge penalty of their weights.
+WORDS, RIDGE = 4096, 0.02
+#: Characters of a window whose mean Markov ratio is taken; this quantile of a value's windows is a feature.
+MARKOV_WINDOW, UPPER = 10, 0.8
 
 # -- lexical rules -----------------------------------------------------------
 
@@ -87,6 +96,8 @@ _UUID = re.compile(r"^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$", re.I)
 _HEX = re.compile(r"^[0-9a-f]{16,}$", re.I)
 _URL = re.compile(r"^[a-z][a-z0-9+.-]*://", re.I)
 _USERINFO = re.compile(r"[a-z][a-z0-9+.-]*://([^\s/:@\"'`<>]*):([^\s/@\"'`]+)@", re.I)
+_AUTHORITY = re.compile(r"://[^\s/:@\"'`<>]*+:([^\s/@\"'`]++)@")
+_TEXT = re.compile(r"\s|\\[nr]|[\"'][,:]")
 _QUERY = re.compile(r"[?&;](sig|signature|token|access_token|api_?key|key|auth|password|secret|x-amz-signature|code)=([^&\s\"'`#]+)", re.I)
 _INNER = re.compile(r"(?:^|[\s;,&])(password|passwd|pwd|pass|passwort|secret|token|api_?key|access_?key)\s*=\s*([^\s;,&\"'`()]+)(?=$|[\s;,&\"'`])", re.I)
 _PAIR = re.compile(r"""\\?["']([A-Za-z_][\w.-]{0,80})\\?["']\s*:\s*\\?["']([^"'\\\n]{3,})\\?["']""")
@@ -113,14 +124,18 @@ _ASSIGNED = re.compile(r"""([A-Za-z_$][\w$-]*)["']?\]?\s*(?::\s*[&'\w<>\[\]\s|]+
 _NEAREST = re.compile(r"""["']?([A-Za-z_$][\w$.-]*)["']?\s*(?::\s*&?(?:'\w+\s+)?[A-Za-z_][\w<>\[\]?.]*(?:\s*\|\s*\w+)*\s*(?==))?(?::=|=>|=(?!=)|:(?!:))\s*[rbfu&]*$""")
 _SETTER = re.compile(r"""(?:set_?|with_?|\.)([A-Za-z_]\w*)\(\s*$""")
 
+_NO_WORD, _HUMP, _QUOTED = re.compile(r"[^a-z0-9]+"), re.compile(r"([a-z0-9])([A-Z])"), re.compile(r"\"[^\"]*\"|'[^']*'")
+_JOIN, _DECODER, _JOINED = re.compile(r"(?:concat!|join)\(\s*$"), re.compile(r"(?:base64|Buffer)?\.?$"), re.compile(r"\s*(?:\+|,|\\)?\s*")
+
 _CLASSES = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/=_-. !?#$%&*@:;,()[]{}<>|~^'\"`\\"
 ALPHABET = {c: i + 1 for i, c in enumerate(_CLASSES)}
 N_SYMBOLS = len(_CLASSES) + 2  # 0 begins a value, the last is any other character
 
 
+@functools.lru_cache(maxsize=50_000)
 def snake(name: str) -> str:
     """accessToken, ACCESS-TOKEN -> access_token"""
-    return re.sub(r"[^a-z0-9]+", "_", re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", name).lower()).strip("_")
+    return _NO_WORD.sub("_", _HUMP.sub(r"\1_\2", name).lower()).strip("_")
 
 
 @dataclass
@@ -132,6 +147,7 @@ class Candidate:
     where: str  # literal, config, comment, userinfo, query, inner, scheme, pem, public, format, blob
     decoded: str = ""
     env: bool = False
+    near: str = ""  # text before a value in a comment
 
 
 def _decode(value: str) -> str:
@@ -159,9 +175,9 @@ class Extractor:
     def row(self, at: int) -> int:
         return bisect.bisect_right(self.starts, at) - 1
 
-    def add(self, start: int, end: int, key: str, where: str, value: str | None = None, spans: list | None = None, decoded: str = "", env: bool = False) -> None:
+    def add(self, start: int, end: int, key: str, where: str, value: str | None = None, spans: list | None = None, decoded: str = "", env: bool = False, near: str = "") -> None:
         v = self.text[start:end] if value is None else value
-        self.found.append(Candidate(self.row(start), spans or [(start, end)], snake(key), v, where, decoded, env))
+        self.found.append(Candidate(self.row(start), spans or [(start, end)], snake(key), v, where, decoded, env, near))
 
     def run(self) -> list[Candidate]:
         taken = self._pem()
@@ -198,17 +214,22 @@ class Extractor:
 
     def _key(self, before: str) -> tuple[str, bool]:
         """Identifier that a literal is given to, and whether the literal names an environment variable."""
-        tail = before[-300:]
-        env = bool(_ENV_CALL.search(tail[-60:]))
+        tail = before[max(before.rfind(";"), before.rfind("{"), before.rfind("}")) + 1 :]  # no name or call goes beyond these
+        env = bool(_ENV_CALL.search(tail))
         if m := _NEAREST.search(tail):
             return m.group(1), env
-        flat = re.sub(r"\"[^\"]*\"|'[^']*'", "S", tail)
-        if m := _ASSIGNED.search(flat):
+        if m := _ASSIGNED.search(_QUOTED.sub("S", tail)):
             return m.group(1), env
         if m := _SETTER.search(tail):
             return m.group(1), env
         return "", env
 
+    def _last(self, at: int) -> str:
+        """The last character before `at` that is no white space."""
+        while at > 0 and self.text[at - 1].isspace():
+            at -= 1
+        return self.text[at - 1 : at]
+
     def _code(self, taken: list[tuple[int, int]]) -> None:
         text = self.text
         rx = _TOKENS[self.language if self.language in ("python", "rust", "go") else "js"]
@@ -230,7 +251,7 @@ class Extractor:
             if text[a:b].endswith(quote):
                 b -= len(quote)
             between = text[last_end : m.start()]
-            joined = pending is not None and bool(re.fullmatch(r"\s*(?:\+|,|\\)?\s*", between)) and (
+            joined = pending is not None and bool(_JOINED.fullmatch(between)) and (
                 "+" in between or (self.language == "python" and "," not in between) or (pending["concat"] and "," in between)
             )
             if joined:
@@ -241,12 +262,12 @@ class Extractor:
             line = self.starts[self.row(m.start())]
             before = text[max(line, last_end if last_end > m.start() else line) : m.start()]
             k = self.row(m.start())
-            doc = self.language == "python" and not before.strip() and text[:line].rstrip()[-1:] in ("", ":", '"', "'")
-            while not doc and not before.strip(" \t([{+,\\") and k > 0:  # the literal begins its row: the statement began before
+            doc = self.language == "python" and not before.strip() and self._last(line) in ("", ":", '"', "'")
+            if not doc and not before.strip(" \t([{+,\\") and k > 0:  # the literal begins its row: the statement began before
                 k -= 1
+                while k > 0 and not text[self.starts[k] : self.starts[k + 1] - 1].strip(" \t\r([{+,\\"):
+                    k -= 1
                 before = text[self.starts[k] : m.start()]
-                if m.start() - self.starts[k] > 400:
-                    break
             pending = {"spans": [(a, b)], "before": before.replace("\n", " ").rstrip("\r"), "concat": before.rstrip().endswith(("concat!(", "join("))}
             last_end = m.end()
         self._flush(pending, taken)
@@ -258,19 +279,19 @@ class Extractor:
         a, b = spans[0][0], spans[-1][1]
         value = "".join(self.text[x:y] for x, y in spans)
         stripped = value.strip()
-        if len(stripped) > LONG and self._long(value, spans, taken):
-            return
         if self._inside(taken, a, b) or len(stripped) < 3:
             return
-        before = re.sub(r"(?:concat!|join)\(\s*$", "", p["before"])
+        if _TEXT.search(stripped) and self._settings(value, spans, taken):
+            return
+        before = _JOIN.sub("", p["before"]) if p["concat"] else p["before"]
         call = bool(_B64_CALL.search(before))
-        before = _B64_CALL.sub("", before)
-        before = re.sub(r"(?:base64|Buffer)?\.?$", "", before) if call else before
+        if call:
+            before = _DECODER.sub("", _B64_CALL.sub("", before))
         key, env = self._key(before)
         self._value(a, b, key, value, spans, "literal", env, call)
 
-    def _long(self, value: str, spans: list[tuple[int, int]], taken: list[tuple[int, int]]) -> bool:
-        """Everything in a long literal, or in several that make one, that may hold a credential; whether there is any."""
+    def _settings(self, value: str, spans: list[tuple[int, int]], taken: list[tuple[int, int]]) -> bool:
+        """Everything in a literal of several words, or in several literals that make one, that may hold a credential; whether there is any."""
         starts = [0]
         for x, y in spans:
             starts.append(starts[-1] + y - x)
@@ -284,10 +305,8 @@ class Extractor:
                 self.add(pieces[0][0], pieces[-1][1], key, where, value=value[x:y], spans=pieces, decoded=decoded)
 
         for i in (m.start() for m in re.finditer("://", value)):  # from the mark, as names of any length may stand before it
-            begin = i - len(re.search(r"[a-z0-9+.-]*$", value[max(0, i - 40) : i], re.I).group())
-            if m := _USERINFO.search(value, begin, i + 4096):
-                if m.start() < i < m.end():
-                    part(m.start(2), m.end(2), "url", "userinfo")
+            if m := _AUTHORITY.match(value, i):
+                part(m.start(1), m.end(1), "url", "userinfo")
         for m in _QUERY.finditer(value):
             part(m.start(2), m.end(2), m.group(1), "query")
         for m in _SCHEME.finditer(value):
@@ -370,12 +389,12 @@ class Extractor:
                     for m in _FORMATS.finditer(line):
                         spans.add((m.start(), m.end(), "format"))
                     for m in _COMMENT_VALUE.finditer(line):
-                        if not any(x <= m.start(1) < y for x, y, _ in spans):
+                        if len(m.group(1)) >= 3 and not any(x <= m.start(1) < y for x, y, _ in spans):
                             spans.add((m.start(1), m.end(1), "comment"))
                     if not spans and (m := re.search(r":\s+(\S{6,})\s*$", line)):
                         spans.add((m.start(1), m.end(1), "comment"))
                     for x, y, where in sorted(spans):
-                        self.add(p + x, p + y, "", where)
+                        self.add(p + x, p + y, "", where, near=line[:x])
             p = end + 1
 
     def _config(self, taken: list[tuple[int, int]]) -> None:
@@ -430,19 +449,7 @@ def candidates_of(path: str, content: str | None) -> list[Candidate]:
     return Extractor(path, content).run() if content else []
 
 
-# -- features and weak labels -------------------------------------------------
-
-FEATURES = (
-    "bias", "secret_key", "weak_key", "about_key", "digest_key", "no_key", "placeholder", "known_format", "userinfo_or_query", "scheme", "inner", "comment", "comment_mixed", "pem",
-    "public_pem", "uuid", "hex", "url", "number", "words", "identifier", "env", "decoded_format", "decoded_pair", "decoded_text", "length", "classes", "digit_share", "config_file", "vendored_path", "test_path", "markov",
-)
-_AT = {n: i for i, n in enumerate(FEATURES)}
-#: Prior means of the weights: what the fit falls back to where the corpus says nothing.
-PRIOR = {
-    "bias": -4.0, "secret_key": 6.0, "weak_key": -2.0, "about_key": -6.0, "digest_key": -6.0, "placeholder": -9.0, "known_format": 8.0, "userinfo_or_query": 7.0, "scheme": 6.5,
-    "inner": 7.0, "comment": 0.0, "comment_mixed": 8.0, "pem": 12.0, "public_pem": -8.0, "uuid": -6.0, "hex": -1.0, "url": -6.0, "number": -6.0, "words": -0.5, "identifier": -5.0, "env": -9.0, "decoded_format": 8.0,
-    "decoded_pair": 4.0, "decoded_text": 0.5, "markov": 1.0,
-}
+# -- patterns and weak labels --------------------------------------------------
 
 
 def is_placeholder(v: str) -> bool:
@@ -452,108 +459,130 @@ def is_placeholder(v: str) -> bool:
 
 def _mixed(v: str) -> bool:
     """Looks drawn at random, as far as a short value can."""
-    kinds = sum(bool(re.search(x, v)) for x in ("[a-z]", "[A-Z]", "[0-9]", r"[^\w\s.:/()]"))
+    kinds = sum(bool(x.search(v)) for x in _KINDS)
     camel = re.fullmatch(r"[A-Za-z][a-z]*(?:[A-Z][a-z]+)*\d?", v)
     return len(v) >= 8 and not camel and (kinds >= 3 or bool(re.search(r"[a-z][A-Z]", v))) and not re.search(r"[()]|\.\w{1,4}$|^\w+/\w+$", v)
 
 
-def features(c: Candidate, path: str) -> np.ndarray:
-    """Feature vector without the Markov ratio (left 0)."""
-    f = np.zeros(len(FEATURES))
-    v, k = c.value, c.key if c.where in ("literal", "config", "comment_setting") else ""
-
-    def on(name: str, x: float = 1.0) -> None:
-        f[_AT[name]] = x
-
-    on("bias")
-    secret = bool(_SECRET_KEY.search(k))
-    about = bool(_ABOUT_KEY.search(k))
-    if c.where == "pem":
-        on("pem")
-    if c.where == "public":
-        on("public_pem")
-    if secret and c.where in ("literal", "config", "comment_setting"):
-        on("secret_key")
+_KINDS = [re.compile(x) for x in ("[a-z]", "[A-Z]", "[0-9]", r"[^\w\s.:/()]")]
+_NUMBER = re.compile(r"[\d.,:%+-]+|\d+\s*\w{1,2}")
+_PLAIN_WORDS = re.compile(r"[A-Za-z][a-z]*(?:[ +_-][a-z]+)+[.!?]?")
+_FOUR_WORDS = re.compile(r"[a-z]+(?: [a-z]+){3}")
+_NAME = re.compile(r"[a-z]+\d{0,2}|[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+|[a-z]+(?:[_-][a-z]+){1,5}\d?|[a-z]+(?:[A-Z][a-z]+)+|[A-Z][a-z]+(?:[A-Z][a-z]+)*")
+_ALNUM = re.compile(r"[A-Za-z0-9]")
+_SLOT = re.compile(r"\{[\w.!()]+\}")
+_PROSE = re.compile(r"[^\d\W][\w'’-]*(?:[ ,;:.]+[\w'’%-]+){5,}[.!?]*", re.S)
+_CALL_OR_PATH = re.compile(r"[A-Za-z]+\d{0,3}(?:[=/._()-]+[A-Za-z]+\d{0,3})*[.!?()]*")
+#: Where a value stands under a name of its own.
+_NAMED = frozenset(("literal", "config", "comment_setting"))
+
+
+def patterns(c: Candidate) -> set[str]:
+    """Names of the patterns that hold for a candidate; they label it for the fit and are no features."""
+    on: set[str] = set()
+    v, k = c.value, c.key if c.where in _NAMED else ""
+    if c.where in ("pem", "public", "userinfo", "query", "scheme", "inner"):
+        on.add(c.where)
+    if k and _SECRET_KEY.search(k):
+        on.add("secret_key")
         if _WEAK_KEY.search(k):
-            on("weak_key")
-    if about:
-        on("about_key")
-    if _DIGEST_KEY.search(k):
-        on("digest_key")
-    if not k:
-        on("no_key")
+            on.add("weak_key")
+    if k and _ABOUT_KEY.search(k):
+        on.add("about_key")
+    if k and _DIGEST_KEY.search(k):
+        on.add("digest_key")
     if c.where not in ("pem", "public") and is_placeholder(v):
-        on("placeholder")
+        on.add("placeholder")
     if c.where != "public" and (m := _FORMATS.search(v)) and (c.where not in ("literal", "config") or m.group() == v.strip()):
-        on("known_format")
-    for where, name in (("userinfo", "userinfo_or_query"), ("query", "userinfo_or_query"), ("scheme", "scheme"), ("inner", "inner"), ("comment", "comment")):
-        if c.where == where:
-            on(name)
-    if c.where == "comment" and (_mixed(v) or _HEX.match(v) and len(v) >= 32 or re.fullmatch(r"[a-z]+(?: [a-z]+){3}", v)):
-        on("comment_mixed")
+        on.add("known_format")
+    if c.where == "comment" and _CALL_OR_PATH.fullmatch(v):
+        on.add("identifier")
+    if c.where == "comment" and (_mixed(v) or _HEX.match(v) and len(v) >= 32 or _FOUR_WORDS.fullmatch(v)):
+        on.add("comment_mixed")
     if _UUID.match(v):
-        on("uuid")
-    if _HEX.match(v):
-        on("hex")
+        on.add("uuid")
     if _URL.match(v):
-        on("url")
-    if re.fullmatch(r"[\d.,:%+-]+|\d+\s*\w{1,2}", v):
-        on("number")
-    if re.fullmatch(r"[A-Za-z][a-z]*(?:[ +_-][a-z]+)+[.!?]?", v):
-        on("words")
+        on.add("url")
+    if _NUMBER.fullmatch(v):
+        on.add("number")
+    if _PLAIN_WORDS.fullmatch(v):
+        on.add("words")
     if c.where in ("literal", "config", "comment") and (
-        re.fullmatch(r"[a-z]+\d{0,2}|[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+|[a-z]+(?:[_-][a-z]+){1,5}\d?|[a-z]+(?:[A-Z][a-z]+)+|[A-Z][a-z]+(?:[A-Z][a-z]+)*", v)
-        or snake(v) == k
-        or not re.search(r"[A-Za-z0-9]", v)
-        or re.search(r"[\[{(]|%[sdv]|\{\}", v) and " " in v
-        or re.search(r"\{[\w.!()]+\}", v)
-        or re.fullmatch(r"[^\d\W][\w'’-]*(?:[ ,;:.]+[\w'’%-]+){5,}[.!?]*", v, re.S)
+        _NAME.fullmatch(v) or snake(v) == k or not _ALNUM.search(v) or " " in v and re.search(r"[\[{(]|%[sdv]|\{\}", v) or _SLOT.search(v) or _PROSE.fullmatch(v)
     ):
-        on("identifier")
+        on.add("identifier")
     if c.env:
-        on("env")
-    if c.decoded:
-        d = c.decoded
+        on.add("env")
+    if d := c.decoded:
         if _FORMATS.search(d):
-            on("decoded_format")
+            on.add("decoded_format")
         elif ":" in d and c.where == "scheme" and not is_placeholder(d.split(":", 1)[1]):
-            on("decoded_pair")
-        elif re.search(r"[A-Za-z0-9+/=_.-]{12,}", d):
-            on("decoded_text")
-    n = max(len(v), 1)
-    on("length", min(math.log1p(len(v)) / 5.0, 2.0))
-    on("classes", sum(bool(re.search(x, v)) for x in ("[a-z]", "[A-Z]", "[0-9]", r"[^\w\s]")) / 4.0)
-    on("digit_share", sum(ch.isdigit() for ch in v) / n)
-    if language_of_path(path) is None:
-        on("config_file")
-    low = f"/{path.lower()}"
-    if re.search(r"/(?:_?vendor|third_?party|node_modules|external|deps)/", low):
-        on("vendored_path")
-    if re.search(r"/(?:tests?|fixtures?|mocks?|examples?)/|_test\.|\.spec\.", low):
-        on("test_path")
-    return f
-
-
-def weak_label(f: np.ndarray, c: Candidate) -> int | None:
+            on.add("decoded_pair")
+    return on
+
+
+#: Patterns of values that only stand for a credential, or are public: the exact check behind the model.
+STANDS_FOR = frozenset(("placeholder", "env", "public"))
+
+
+def weak_label(on: set[str], c: Candidate) -> int | None:
     """1 or 0 where a pattern can tell, None elsewhere."""
-    has = lambda *names: any(f[_AT[n]] > 0 for n in names)
-    if has("placeholder", "env", "public_pem", "uuid"):
+    if on & STANDS_FOR or "uuid" in on:
         return 0
-    if has("pem", "known_format", "decoded_format"):
+    if on & {"pem", "known_format", "decoded_format"}:
         return 1
-    if has("digest_key", "about_key", "url", "number"):
+    if on & {"digest_key", "about_key", "url", "number"}:
         return 0
-    if has("userinfo_or_query", "inner", "decoded_pair", "comment_mixed") or (has("scheme") and len(c.value) >= 16):
+    if on & {"userinfo", "query", "inner", "decoded_pair", "comment_mixed"} or ("scheme" in on and len(c.value) >= 16):
         return 1
-    if has("secret_key") and not has("identifier"):
-        return 1 if not has("weak_key") or len(c.value) >= 16 else None
-    if has("identifier", "words"):
+    if "secret_key" in on and "identifier" not in on:
+        return 1 if "weak_key" not in on or len(c.value) >= 16 else None
+    if on & {"identifier", "words"}:
         return 0
-    if c.where in ("literal", "config") and not has("secret_key"):
+    if c.where in ("literal", "config") and "secret_key" not in on:
         return 0
     return None
 
 
+# -- features -------------------------------------------------------------------
+
+#: Columns before the hashed words.
+DENSE = ("bias", "markov_mean", "markov_upper", "length")
+_AT = {n: i for i, n in enumerate(DENSE)}
+N_FEATURES = len(DENSE) + WORDS
+_EXTENSION = re.compile(r"\.([A-Za-z0-9]+)$")
+#: Folders whose names say what is in them (other names would only tell repositories apart).
+_FOLDERS = frozenset("test tests fixtures fixture mocks mock examples example vendor _vendor third_party node_modules external deps config deploy infra scripts ci docs".split())
+_NEAR_WORD = re.compile(r"[^\W\d_]+")
+
+
+def surroundings(c: Candidate, path: str) -> list[int]:
+    """Sorted columns of the words around a candidate: its name, the call or comment it stands in, the place, the path."""
+    got = {f"at {c.where}"}
+    key = c.key.split("_") if c.key else []
+    if c.where in _NAMED or c.where in ("query", "scheme", "inner", "pem", "public"):
+        got |= {f"name {w}" for w in key} | {f"last {w}" for w in key[-1:]} | {f"pair {a} {b}" for a, b in zip(key, key[1:])}
+    if not key and c.where in _NAMED:
+        got.add("no name")
+    if c.near:
+        got |= {f"near {w.lower()}" for w in _NEAR_WORD.findall(c.near)}
+    if c.env:
+        got.add("call env")
+    if c.decoded:
+        got.add("decoded")
+        got.add(f"decoded {c.where}")
+    *folders, base = path.replace("\\", "/").lower().split("/")
+    m = _EXTENSION.search(base)
+    got.add(f"extension {m.group(1) if m else base}")
+    got |= {f"folder {x}" for x in folders if x in _FOLDERS}
+    return sorted({_column(w) for w in got})
+
+
+@functools.lru_cache(maxsize=200_000)
+def _column(word: str) -> int:
+    return len(DENSE) + xxhash.xxh32_intdigest(word) % WORDS
+
+
 # -- Markov models ------------------------------------------------------------
 
 
@@ -574,9 +603,53 @@ def log_ratio_table(counts: np.ndarray) -> np.ndarray:
     return (p[1] - p[0]).ravel()
 
 
-def mean_ratio(value: str, ratio: np.ndarray) -> float:
+def markov_features(value: str, ratio: np.ndarray) -> tuple[float, float]:
+    """Mean log ratio of a value and the upper quantile of the means of its windows."""
     b = bigrams(value)
-    return float(np.clip(ratio[b].mean(), -4.0, 4.0)) if len(b) else 0.0
+    if not len(b):
+        return 0.0, 0.0
+    c = np.concatenate([[0.0], np.cumsum(ratio[b])])
+    w = min(MARKOV_WINDOW, len(b))
+    return float(np.clip(c[-1] / len(b), -4, 4)), float(np.clip(np.quantile((c[w:] - c[:-w]) / w, UPPER), -4, 4))
+
+
+@dataclass
+class Matrix:
+    """Rows of features: the dense columns, and the columns of the words as one list with the row of each."""
+
+    dense: np.ndarray
+    row: np.ndarray
+    column: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.dense)
+
+    def take(self, keep: np.ndarray) -> Matrix:
+        """The rows of a boolean mask."""
+        words = keep[self.row]
+        return Matrix(self.dense[keep], (np.cumsum(keep) - 1)[self.row[words]], self.column[words])
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return self.dense @ w[: len(DENSE)] + np.bincount(self.row, weights=w[self.column], minlength=len(self))
+
+    def transposed_times(self, r: np.ndarray) -> np.ndarray:
+        out = np.bincount(self.column, weights=r[self.row], minlength=N_FEATURES)
+        out[: len(DENSE)] = self.dense.T @ r
+        return out
+
+
+def matrix(markov: list[tuple[float, float]], lengths: list[int], columns: list) -> Matrix:
+    n = len(markov)
+    d = np.ones((n, len(DENSE)))
+    d[:, 1:3] = np.array(markov, dtype=float).reshape(n, 2)
+    d[:, _AT["length"]] = np.minimum(np.log1p(np.array(lengths, dtype=float)) / 5.0, 1.0)
+    sizes = [len(c) for c in columns]
+    column = np.concatenate([np.asarray(c, dtype=np.int64) for c in columns]) if n else np.zeros(0, dtype=np.int64)
+    return Matrix(d, np.repeat(np.arange(n), sizes), column)
+
+
+def matrix_of(values: list, columns: list, ratio: np.ndarray) -> Matrix:
+    return matrix([markov_features(v or "", ratio) for v in values], [len(v or "") for v in values], columns)
 
 
 # -- logistic regression --------------------------------------------------------
@@ -585,49 +658,111 @@ def mean_ratio(value: str, ratio: np.ndarray) -> float:
 @dataclass
 class Model:
     weights: np.ndarray
-    scale: float
-    shift: float
+    scale: float = 1.0
+    shift: float = 0.0
 
-    def probability(self, x: np.ndarray) -> np.ndarray:
+    def probability(self, x: Matrix) -> np.ndarray:
         """Calibrated probability."""
-        z = x @ self.weights * self.scale + self.shift
-        return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
-
-
-def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 30) -> Model:
-    """Penalised regression towards the prior weights by Newton's method, then Platt scaling on the held-out part."""
-    prior = np.array([PRIOR.get(n, 0.0) for n in FEATURES])
-    w = prior.copy()
-    if len(y) < 10 or y.min() == y.max():
-        return Model(w, 1.0, 0.0)
-    held = np.arange(len(y)) % HELD_OUT == 0
-    xt, yt = x[~held], y[~held]
+        return _sigmoid(x.times(self.weights) * self.scale + self.shift)
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
+
+
+def _loss(z: np.ndarray, t: np.ndarray) -> float:
+    return float((np.logaddexp(0.0, z) - t * z).sum())
+
+
+def minimise(cost: Callable[[np.ndarray], tuple[float, np.ndarray]], w: np.ndarray, rounds: int = 300, memory: int = 8) -> np.ndarray:
+    """Limited-memory quasi-Newton descent of `cost` (value, gradient); no step raises the value."""
+    now, g = cost(w)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(rounds):
-        p = 1.0 / (1.0 + np.exp(-np.clip(xt @ w, -40, 40)))
-        g = xt.T @ (p - yt) + penalty * (w - prior)
-        h = (xt * (p * (1 - p))[:, None]).T @ xt + penalty * np.eye(len(w))
-        step = np.linalg.solve(h, g)
-        w = w - step
-        if np.abs(step).max() < 1e-6:
+        d, kept = -g, []
+        for s, y in reversed(pairs):
+            kept.append(float(s @ d) / float(s @ y))
+            d = d - kept[-1] * y
+        if pairs:
+            s, y = pairs[-1]
+            d = d * (float(s @ y) / float(y @ y))
+        else:
+            d = d / max(float(np.abs(g).sum()), 1.0)
+        for (s, y), a in zip(pairs, reversed(kept), strict=True):
+            d = d + s * (a - float(y @ d) / float(s @ y))
+        slope, size = float(g @ d), 1.0
+        while size > 1e-8:
+            then, ahead = cost(w + size * d)
+            if then <= now + 1e-4 * size * slope:
+                break
+            size /= 2
+        else:
             break
-    a, b = 1.0, 0.0
-    z, t = x[held] @ w, y[held]
-    smooth = np.where(t > 0, (t.sum() + 1) / (t.sum() + 2), 1 / ((1 - t).sum() + 2))
-    for _ in range(rounds):
-        p = 1.0 / (1.0 + np.exp(-np.clip(a * z + b, -40, 40)))
-        r, q = p - smooth, np.maximum(p * (1 - p), 1e-9)
-        g = np.array([r @ z + 0.1 * (a - 1), r.sum() + 0.1 * b])
-        h = np.array([[q @ (z * z) + 0.1, q @ z], [q @ z, q.sum() + 0.1]])
-        step = np.linalg.solve(h, g)
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-6:
+        s, y = size * d, ahead - g
+        if float(s @ y) > 1e-12:
+            pairs = [*pairs[1 - memory :], (s, y)]
+        w, gain, now, g = w + s, now - then, then, ahead
+        if gain <= 1e-6 * (1.0 + abs(now)):
             break
-    return Model(w, max(a, 0.05), b)
+    return w
+
+
+def calibrated(z: np.ndarray, t: np.ndarray) -> tuple[float, float]:
+    """Scale and shift by Platt's method with a prior on both (1 and 0), kept only where they raise the likelihood."""
+    n = t.sum(), (1 - t).sum()
+    smooth = np.where(t > 0, (n[0] + 1) / (n[0] + 2), 1 / (n[1] + 2))
+
+    def cost(v: np.ndarray) -> tuple[float, np.ndarray]:
+        q = v[0] * z + v[1]
+        r = _sigmoid(q) - smooth
+        return _loss(q, smooth) + 0.5 * (v[0] - 1) ** 2 + 0.05 * v[1] ** 2, np.array([r @ z + v[0] - 1, r.sum() + 0.1 * v[1]])
+
+    a, b = minimise(cost, np.array([1.0, 0.0]))
+    better = a > 0 and _loss(a * z + b, smooth) < _loss(z, smooth)
+    return (float(a), float(b)) if better else (1.0, 0.0)
+
+
+def weights(x: Matrix, t: np.ndarray, ridge: float, begin: np.ndarray) -> np.ndarray:
+    """Ridge regression from `begin` on; all weights but the bias shrink to zero."""
+    penalty = np.full(N_FEATURES, ridge)
+    penalty[_AT["bias"]] = 1e-6
+
+    def cost(w: np.ndarray) -> tuple[float, np.ndarray]:
+        z = x.times(w)
+        return _loss(z, t) + 0.5 * float(penalty @ (w * w)), x.transposed_times(_sigmoid(z) - t) + penalty * w
+
+    return minimise(cost, begin)
+
+
+def fit(x: Matrix, y: np.ndarray, ridge: float = RIDGE) -> Model | None:
+    """Regression on all rows; scale and shift from predictions of FOLDS fits that left them out. None without both labels."""
+    if len(y) < 2 or y.min() == y.max():
+        return None
+    w = weights(x, y, ridge, np.zeros(N_FEATURES))
+    fold = np.zeros(len(y), dtype=int)
+    for k in (0, 1):  # both labels in each part
+        at = np.flatnonzero(y == k)
+        fold[at] = np.arange(len(at)) % FOLDS
+    z, seen = np.zeros(len(y)), np.zeros(len(y), dtype=bool)
+    for j in range(FOLDS):
+        out = fold == j
+        if out.any() and y[~out].min() < y[~out].max():
+            z[out] = x.take(out).times(weights(x.take(~out), y[~out], ridge, np.zeros(N_FEATURES)))
+            seen |= out
+    return Model(w, *calibrated(z[seen], y[seen])) if seen.any() else Model(w)
 
 
 # -- distributed operator ---------------------------------------------------------
 
-_CANDIDATES = "file_id bigint, start_row bigint, spans array<struct<a:bigint,b:bigint>>, value string, where string, f array<double>, weak int"
+_CANDIDATES = "file_id bigint, start_row bigint, spans array<struct<a:bigint,b:bigint>>, value string, where string, columns array<int>, weak int, stands boolean"
+
+
+def described(path: str, content: str | None) -> Iterator[tuple[Candidate, str, list[int], int | None, bool]]:
+    """Candidates of a file with the value to judge, the columns of their surroundings, weak label and the exact check."""
+    for c in candidates_of(path, content):
+        on = patterns(c)
+        judged = c.decoded.split(":", 1)[-1] if on & {"decoded_format", "decoded_pair"} else c.value
+        yield c, judged, surroundings(c, path), weak_label(on, c), bool(on & STANDS_FOR)
 
 
 def extract(files: DataFrame) -> DataFrame:
@@ -635,22 +770,23 @@ def extract(files: DataFrame) -> DataFrame:
 
     def rows(cols: dict[str, list]) -> Iterator[tuple]:
         for fid, path, content in zip(cols["file_id"], cols["file_path"], cols["content"], strict=True):
-            for c in candidates_of(path or "", content):
-                f = features(c, path or "")
-                judged = c.decoded.split(":", 1)[-1] if c.decoded and (f[_AT["decoded_format"]] or f[_AT["decoded_pair"]]) else c.value
-                yield fid, c.start_row, [{"a": a, "b": b} for a, b in c.spans], judged, c.where, f.tolist(), weak_label(f, c)
+            for c, judged, columns, weak, stands in described(path or "", content):
+                yield fid, c.start_row, [{"a": a, "b": b} for a, b in c.spans], judged, c.where, columns, weak, stands
 
     return arrow_map(spread(files.select("file_id", "file_path", "content")), rows, _CANDIDATES)
 
 
 def markov_counts(candidates: DataFrame) -> np.ndarray:
-    """Bigram counts of the weakly positive and of all other candidates, over the whole corpus."""
+    """Bigram counts of the weakly positive and of all other labelled candidates, over the whole corpus."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(2 * N_SYMBOLS * N_SYMBOLS, dtype=np.int64)
         for pdf in batches:
-            for v, weak in zip(pdf["value"], pdf["weak"], strict=True):
-                np.add.at(total, bigrams(v or "") + (N_SYMBOLS * N_SYMBOLS if weak == 1 else 0), 1)
+            for k in (0, 1):
+                got = [bigrams(v) for v in pdf.loc[pdf["weak"] == k, "value"] if v]
+                if got:
+                    at = k * N_SYMBOLS * N_SYMBOLS
+                    total[at : at + N_SYMBOLS * N_SYMBOLS] += np.bincount(np.concatenate(got), minlength=N_SYMBOLS * N_SYMBOLS)
         at = np.flatnonzero(total)
         if len(at):
             yield pd.DataFrame({"at": at, "n": total[at]})
@@ -663,49 +799,48 @@ def markov_counts(candidates: DataFrame) -> np.ndarray:
     return counts
 
 
-def with_ratio(candidates: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """`candidates` with the mean Markov ratio of their values."""
-
-    @F.pandas_udf("double")
-    def mean(value: pd.Series) -> pd.Series:
-        return pd.Series([mean_ratio(v or "", ratio) for v in value], dtype=float)
-
-    return candidates.withColumn("ratio", mean("value"))
-
-
-def train(candidates: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[Model, np.ndarray]:
+def train(candidates: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[Model | None, np.ndarray]:
+    """The fitted model, None without both labels, and the log ratios of the Markov models."""
     ratio = log_ratio_table(markov_counts(candidates))
     order = F.xxhash64("file_id", "start_row", "value")
-    parts = [candidates.where(F.col("weak") == k).select("f", "value", "weak", order.alias("o")).orderBy("o", "value").limit(sample_rows) for k in (0, 1)]
-    # values may be long: only their ratios come to the driver
-    got = with_ratio(parts[0].unionByName(parts[1]), ratio).drop("value").toPandas()
-    got = got.assign(k=got["f"].map(tuple)).sort_values(["o", "ratio", "k"], kind="stable")
-    if not len(got):
-        return fit(np.zeros((0, len(FEATURES))), np.zeros(0)), ratio
-    x = np.stack([np.asarray(v, dtype=float) for v in got["f"]])
-    x[:, _AT["markov"]] = got["ratio"]
-    return fit(x, got["weak"].to_numpy(dtype=float)), ratio
+    parts = [candidates.where(F.col("weak") == k).select("columns", "value", "weak", order.alias("o")).orderBy("o", "value").limit(sample_rows) for k in (0, 1)]
 
+    @F.pandas_udf("array<double>")
+    def markov(value: pd.Series) -> pd.Series:
+        return pd.Series([[*markov_features(v or "", ratio), float(len(v or ""))] for v in value], dtype=object)
 
-def score(candidates: DataFrame, model: Model, ratio: np.ndarray) -> DataFrame:
-    """`candidates` with their calibrated probability."""
-
-    @F.pandas_udf("double")
-    def probability(f: pd.Series, value: pd.Series) -> pd.Series:
-        if not len(f):
-            return pd.Series([], dtype=float)
-        x = np.stack([np.asarray(v, dtype=float) for v in f])
-        x[:, _AT["markov"]] = [mean_ratio(v or "", ratio) for v in value]
-        return pd.Series(model.probability(x))
-
-    return candidates.withColumn("probability", probability("f", "value"))
+    # values may be long: only what the Markov models say of them comes to the driver
+    got = parts[0].unionByName(parts[1]).withColumn("m", markov("value")).drop("value").toPandas()
+    got = got.assign(k=got["columns"].map(tuple), h=got["m"].map(tuple)).sort_values(["o", "h", "k"], kind="stable")
+    x = matrix([m[:2] for m in got["m"]], [m[2] for m in got["m"]], list(got["columns"]))
+    return fit(x, got["weak"].to_numpy(dtype=float)), ratio
 
 
 def find(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(file_id, start_row, spans, where, probability) of every credential found."""
     candidates = materialize(extract(files))
     model, ratio = train(candidates)
-    return score(candidates, model, ratio).where(F.col("probability") >= threshold).select("file_id", "start_row", "spans", "where", "probability")
+    if model is None:  # one label or none: nothing to tell apart
+        return candidates.where("weak = 1").select("file_id", "start_row", "spans", "where", F.lit(1.0).alias("probability"))
+
+    @F.pandas_udf("double")
+    def probability(columns: pd.Series, value: pd.Series) -> pd.Series:
+        return pd.Series(model.probability(matrix_of(list(value), list(columns), ratio)), dtype=float)
+
+    # the exact check comes first as it is cheaper
+    scored = candidates.where(~F.col("stands")).withColumn("probability", probability("columns", "value"))
+    return scored.where(F.col("probability") >= threshold).select("file_id", "start_row", "spans", "where", "probability")
+
+
+def spans_of(path: str, content: str | None, model: Model | None, ratio: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Spans of the credentials of one file."""
+    got = [x for x in described(path, content) if not x[4]]
+    if model is None:
+        return [s for c, _, _, weak, _ in got if weak == 1 for s in c.spans]
+    if not got:
+        return []
+    p = model.probability(matrix_of([x[1] for x in got], [x[2] for x in got], ratio))
+    return [s for x, q in zip(got, p, strict=True) if q >= threshold for s in x[0].spans]
 
 
 def mask(content: str, spans: list[tuple[int, int]]) -> str:
@@ -723,15 +858,18 @@ def mask(content: str, spans: list[tuple[int, int]]) -> str:
 
 
 def redact(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(file_id, content) of every row of `files`, with the credentials masked; null content stays null."""
-    found = find(files, threshold).select("file_id", F.explode("spans").alias("s")).distinct().groupBy("file_id").agg(F.collect_list("s").alias("spans"))
-    joined = files.select("file_id", "content").join(found, "file_id", "left")
+    """(file_id, content) of every row of `files`, with the credentials masked; null content stays null.
+
+    The model is fitted as in `find`; a second pass over the contents finds and masks in place, so
+    that no content is shuffled by key.
+    """
+    model, ratio = train(materialize(extract(files)))
 
-    @F.pandas_udf("string")
-    def masked(content: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([c if c is None or s is None else mask(c, [(x["a"], x["b"]) for x in s]) for c, s in zip(content, spans, strict=True)], dtype=object)
+    def rows(cols: dict[str, list]) -> Iterator[tuple]:
+        for fid, path, content in zip(cols["file_id"], cols["file_path"], cols["content"], strict=True):
+            yield fid, mask(content, spans_of(path or "", content, model, ratio, threshold)) if content else content
 
-    return joined.select("file_id", masked("content", "spans").alias("content"))
+    return arrow_map(spread(files.select("file_id", "file_path", "content")), rows, "file_id bigint, content string")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
