@@ -54,6 +54,8 @@ FOLDS = 4
 WORDS, RIDGE = 4096, 0.02
 #: Characters of a window whose mean Markov ratio is taken; this quantile of a value's windows is a feature.
 MARKOV_WINDOW, UPPER = 10, 0.8
+#: Characters from which a value counts as long; beyond, its length says nothing more.
+LENGTH = 24
 
 # -- lexical rules -----------------------------------------------------------
 
@@ -642,7 +644,7 @@ def matrix(markov: list[tuple[float, float]], lengths: list[int], columns: list)
     n = len(markov)
     d = np.ones((n, len(DENSE)))
     d[:, 1:3] = np.array(markov, dtype=float).reshape(n, 2)
-    d[:, _AT["length"]] = np.minimum(np.log1p(np.array(lengths, dtype=float)) / 5.0, 1.0)
+    d[:, _AT["length"]] = np.minimum(np.log1p(np.array(lengths, dtype=float)) / math.log1p(LENGTH), 1.0)
     sizes = [len(c) for c in columns]
     column = np.concatenate([np.asarray(c, dtype=np.int64) for c in columns]) if n else np.zeros(0, dtype=np.int64)
     return Matrix(d, np.repeat(np.arange(n), sizes), column)
