@@ -588,14 +588,19 @@ def _column(word: str) -> int:
 # -- Markov models ------------------------------------------------------------
 
 
-def symbols(value: str) -> np.ndarray:
-    last = N_SYMBOLS - 1
-    return np.fromiter((ALPHABET.get(ch, last) for ch in value), dtype=np.int64, count=len(value))
+_SYMBOL = np.full(256, N_SYMBOLS - 1, dtype=np.int64)
+for _c, _i in ALPHABET.items():
+    _SYMBOL[ord(_c)] = _i
 
 
-def bigrams(value: str) -> np.ndarray:
-    s = symbols(value)
-    return np.concatenate([[0], s[:-1]]) * N_SYMBOLS + s if len(s) else s
+def bigrams(values: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Character bigrams of some values in a row, and the length of each value; every value begins with symbol 0."""
+    sizes = np.array([len(v) for v in values], dtype=np.int64)
+    code = np.frombuffer("".join(values).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    s = np.where(code < 256, _SYMBOL[np.minimum(code, 255)], N_SYMBOLS - 1)
+    before = np.concatenate([[0], s[:-1]]) if len(s) else s
+    before[(np.cumsum(sizes) - sizes)[sizes > 0]] = 0
+    return before * N_SYMBOLS + s, sizes
 
 
 def log_ratio_table(counts: np.ndarray) -> np.ndarray:
@@ -605,14 +610,27 @@ def log_ratio_table(counts: np.ndarray) -> np.ndarray:
     return (p[1] - p[0]).ravel()
 
 
-def markov_features(value: str, ratio: np.ndarray) -> tuple[float, float]:
-    """Mean log ratio of a value and the upper quantile of the means of its windows."""
-    b = bigrams(value)
-    if not len(b):
-        return 0.0, 0.0
+def markov_features(values: list, ratio: np.ndarray) -> np.ndarray:
+    """Of each value the mean log ratio, and the UPPER quantile of the means of its windows; zeros for empty values."""
+    b, n = bigrams([v or "" for v in values])
+    out = np.zeros((len(n), 2))
+    live = np.flatnonzero(n)
+    if not len(live):
+        return out
     c = np.concatenate([[0.0], np.cumsum(ratio[b])])
-    w = min(MARKOV_WINDOW, len(b))
-    return float(np.clip(c[-1] / len(b), -4, 4)), float(np.clip(np.quantile((c[w:] - c[:-w]) / w, UPPER), -4, 4))
+    end = np.cumsum(n)[live]
+    n = n[live]
+    begin = end - n
+    out[live, 0] = (c[end] - c[begin]) / n
+    width = np.minimum(n, MARKOV_WINDOW)
+    many = n - width + 1
+    first = np.cumsum(many) - many
+    owner = np.repeat(np.arange(len(n)), many)
+    at = np.repeat(begin - first, many) + np.arange(many.sum())
+    mean = (c[at + width[owner]] - c[at]) / width[owner]
+    mean = mean[np.lexsort((mean, owner))]
+    out[live, 1] = mean[first + (UPPER * (many - 1)).astype(np.int64)]
+    return np.clip(out, -4, 4)
 
 
 @dataclass
@@ -640,10 +658,10 @@ class Matrix:
         return out
 
 
-def matrix(markov: list[tuple[float, float]], lengths: list[int], columns: list) -> Matrix:
-    n = len(markov)
+def matrix(markov: np.ndarray, lengths: list[int], columns: list) -> Matrix:
+    n = len(lengths)
     d = np.ones((n, len(DENSE)))
-    d[:, 1:3] = np.array(markov, dtype=float).reshape(n, 2)
+    d[:, 1:3] = markov
     d[:, _AT["length"]] = np.minimum(np.log1p(np.array(lengths, dtype=float)) / math.log1p(LENGTH), 1.0)
     sizes = [len(c) for c in columns]
     column = np.concatenate([np.asarray(c, dtype=np.int64) for c in columns]) if n else np.zeros(0, dtype=np.int64)
@@ -651,7 +669,7 @@ def matrix(markov: list[tuple[float, float]], lengths: list[int], columns: list)
 
 
 def matrix_of(values: list, columns: list, ratio: np.ndarray) -> Matrix:
-    return matrix([markov_features(v or "", ratio) for v in values], [len(v or "") for v in values], columns)
+    return matrix(markov_features(values, ratio), [len(v or "") for v in values], columns)
 
 
 # -- logistic regression --------------------------------------------------------
@@ -785,10 +803,9 @@ def markov_counts(candidates: DataFrame) -> np.ndarray:
         total = np.zeros(2 * N_SYMBOLS * N_SYMBOLS, dtype=np.int64)
         for pdf in batches:
             for k in (0, 1):
-                got = [bigrams(v) for v in pdf.loc[pdf["weak"] == k, "value"] if v]
-                if got:
-                    at = k * N_SYMBOLS * N_SYMBOLS
-                    total[at : at + N_SYMBOLS * N_SYMBOLS] += np.bincount(np.concatenate(got), minlength=N_SYMBOLS * N_SYMBOLS)
+                at = k * N_SYMBOLS * N_SYMBOLS
+                got, _ = bigrams([v or "" for v in pdf.loc[pdf["weak"] == k, "value"]])
+                total[at : at + N_SYMBOLS * N_SYMBOLS] += np.bincount(got, minlength=N_SYMBOLS * N_SYMBOLS)
         at = np.flatnonzero(total)
         if len(at):
             yield pd.DataFrame({"at": at, "n": total[at]})
@@ -809,12 +826,13 @@ def train(candidates: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[Model
 
     @F.pandas_udf("array<double>")
     def markov(value: pd.Series) -> pd.Series:
-        return pd.Series([[*markov_features(v or "", ratio), float(len(v or ""))] for v in value], dtype=object)
+        m = markov_features(list(value), ratio)
+        return pd.Series([[*m[i], float(len(v or ""))] for i, v in enumerate(value)], dtype=object)
 
     # values may be long: only what the Markov models say of them comes to the driver
     got = parts[0].unionByName(parts[1]).withColumn("m", markov("value")).drop("value").toPandas()
     got = got.assign(k=got["columns"].map(tuple), h=got["m"].map(tuple)).sort_values(["o", "h", "k"], kind="stable")
-    x = matrix([m[:2] for m in got["m"]], [m[2] for m in got["m"]], list(got["columns"]))
+    x = matrix(np.array([m[:2] for m in got["m"]], dtype=float).reshape(-1, 2), [m[2] for m in got["m"]], list(got["columns"]))
     return fit(x, got["weak"].to_numpy(dtype=float)), ratio
 
 

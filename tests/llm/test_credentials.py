@@ -76,8 +76,8 @@ def fitted(files, markov=True):
     """The operator's fit, in one process: (model, log ratios, features of all labelled candidates, labels)."""
     got = [d for path, text in files for d in C.described(path, text) if d[3] is not None]
     counts = np.zeros(2 * C.N_SYMBOLS**2)
-    for _, v, _, weak, _ in got:
-        np.add.at(counts, C.bigrams(v) + weak * C.N_SYMBOLS**2, 1)
+    for k in (0, 1):
+        np.add.at(counts, C.bigrams([d[1] for d in got if d[3] == k])[0] + k * C.N_SYMBOLS**2, 1)
     ratio = C.log_ratio_table(counts) if markov else np.zeros_like(C.log_ratio_table(counts))
     x, y = C.matrix_of([d[1] for d in got], [d[2] for d in got], ratio), np.array([d[3] for d in got], dtype=float)
     return C.fit(x, y), ratio, x, y
@@ -184,6 +184,16 @@ def test_cases_without_a_label_are_found_by_the_model():
     assert {0, 1} & {c.start_row for c in found(path, content)} and 2 not in {c.start_row for c in found(path, content)}
 
 
+def test_markov_features_of_a_batch_equal_those_of_each_value():
+    values = ["", None, "a", "Heron1908!", "ж" * 12, "x" * 5000, "aZ3+kQ9/" * 40]
+    got = C.markov_features(values, RATIO)
+    for i, v in enumerate(values):
+        r = [RATIO[b] for b in C.bigrams([v or ""])[0]]
+        w = min(C.MARKOV_WINDOW, len(r))
+        means = sorted(sum(r[j : j + w]) / w for j in range(len(r) - w + 1)) if r else [0.0]
+        assert np.allclose(got[i], [sum(r) / max(len(r), 1), means[int(C.UPPER * (len(means) - 1))]], atol=1e-9)
+
+
 def test_calibration_never_lowers_the_likelihood():
     z = np.array([-900.0, -800, -700, 700, 800])
     t = np.array([0.0, 0, 0, 1, 1])
@@ -192,7 +202,7 @@ def test_calibration_never_lowers_the_likelihood():
     assert a > 0 and p[3:].min() > 0.5 > p[:3].max()
     a, b = C.calibrated(np.array([-5.0, -4, -3, -2.0]), np.array([0.0, 0, 0, 1]))
     assert a > 0 and C._sigmoid(a * -2.0 + b) > C._sigmoid(-2.0)
-    assert C.fit(C.matrix([], [], []), np.zeros(0)) is None
+    assert C.fit(C.matrix_of([], [], RATIO), np.zeros(0)) is None
 
 
 def test_operator(spark):
