@@ -16,13 +16,14 @@ zero-width characters, markup, escapes and line prefixes.
 Defined cases: null and blank texts match nothing; an item with null prompt or
 solution is searched by the part it has; parts shorter than the wanted number
 of words must be there whole; repeated rows give one pair; an empty table on
-either side gives an empty result. Scale: documents are read once and never
-shuffled; items, a stated query set, are handed to the executors in blocks of
-`ITEM_BLOCK`, so any number of them is searched.
+either side gives an empty result. Scale: documents are read in one pass. The
+items, a stated query set, are handed to the executors up to `ITEM_BLOCK` of
+them; more are joined with the documents' windows on their band values.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import math
 import re
@@ -35,25 +36,32 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import spread, table
+from .common import arrow_map, materialize, spread, table
 
 #: Words of a shingle; items are short and may have single changed words, so shingles are too.
 SHINGLE = 3
-#: Shingles per document window, their step, words per item segment, their step.
-WINDOW, STEP, SEGMENT, SEGMENT_STEP = 64, 32, 20, 5
+#: Shingles per document window, their step (a segment lies whole in a window), words per item segment, their step.
+WINDOW, STEP, SEGMENT, SEGMENT_STEP = 36, 18, 20, 5
 #: Shared shingles that the search must not miss, and the chance of missing a single segment that has them.
 SHARED, MISS = 10, 1e-3
 #: Upper size bounds of the partitions of windows.
-PARTITIONS = (24, 40, WINDOW)
-#: Words of a passage that make a case; words at either end of a run may be changed ones.
-PASSAGE_WORDS, EDGE = 20, 3
-#: Items handed to the executors at a time.
+PARTITIONS = (12, 24, WINDOW)
+#: Words of a passage that make a case.
+PASSAGE_WORDS = 20
+#: Items whose index is handed to the executors; more are joined on their band values.
 ITEM_BLOCK = 5000
 
+#: Costs of chaining: a changed word or foreign line between two runs costs as much as so many words.
+GAP_COST, GAP_ITEM, GAP_DOC = 4, 1, 60
+#: At most one gap in so many words of a passage, and the exact shingles that a candidate for a solution must share.
+GAP_EVERY, LEAST_SHARED = 10, 7
+
 _PRIME = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
+@functools.cache
 def bands(upper: int) -> int:
     """Bands of one row that find a segment with SHARED shingles in a window of `upper`, but for a chance of MISS."""
     jaccard = SHARED / (upper + SEGMENT - SHINGLE + 1 - SHARED)
@@ -61,7 +69,7 @@ def bands(upper: int) -> int:
 
 
 N_BANDS = bands(WINDOW)
-_MULTIPLIERS = np.array([int(xxhash.xxh64_intdigest(f"band {j}")) | 1 for j in range(N_BANDS)], dtype=np.uint64)
+_MULTIPLIERS = np.array([xxhash.xxh32_intdigest(f"band {j}") | 1 for j in range(N_BANDS)], dtype=np.uint32)
 
 _INVISIBLE = re.compile("[­᠎​-‏‪-‮⁠-⁤﻿]")
 _INLINE = re.compile(r"</?(?:a|b|i|u|s|em|strong|span|code|tt|mark|small|sub|sup|kbd|font|abbr|wbr)(?:\s[^<>]*)?/?>", re.I)
@@ -126,22 +134,14 @@ class Part:
     line_of: list[int] = field(default_factory=list)
     n_lines: int = 0
 
-    def index(self) -> dict[tuple, list[int]]:
-        out: dict[tuple, list[int]] = {}
-        t = self.tokens
-        for i in range(len(t) - SHINGLE + 1):
-            out.setdefault(tuple(t[i : i + SHINGLE]), []).append(i)
-        return out
-
 
-def instruction(prompts: list[str]) -> str:
+def instruction(items: DataFrame) -> str:
     """The opening paragraph that more than half of the prompts share, else an empty text."""
-    heads = Counter(p.split("\n\n", 1)[0] for p in prompts if "\n\n" in p)
-    if heads:
-        head, n = heads.most_common(1)[0]
-        if n * 2 > len(prompts):
-            return head
-    return ""
+    head = F.when(F.col("prompt").contains("\n\n"), F.split("prompt", "\n\n", 2)[0])
+    found = items.where("prompt is not null").groupBy(head.alias("head")).agg(F.count("*").alias("n"))
+    total = found.agg(F.sum("n")).first()[0] or 0
+    top = found.where("head is not null").orderBy(F.desc("n"), "head").first()
+    return top["head"] if top and top["n"] * 2 > total else ""
 
 
 def parts_of(items: list[tuple], common: str) -> list[Part]:
@@ -165,102 +165,147 @@ def parts_of(items: list[tuple], common: str) -> list[Part]:
     return out
 
 
+def _runs(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... n[0] numbers, then those of begin[1] and so on."""
+    return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def least_shared(part: Part, h: np.ndarray) -> int:
+    """Distinct shingles that any text with a case of the part has in common with it.
+
+    A passage of PASSAGE_WORDS with the gaps that GAP_EVERY allows lacks SHINGLE - 1 + GAP_ITEM shingles
+    for each of them; what the passage repeats is one.
+    """
+    if part.solution:
+        return min(LEAST_SHARED, len(np.unique(h)))
+    n = min(PASSAGE_WORDS, len(part.tokens))
+    windows = [len(set(h[s : s + n - SHINGLE + 1].tolist())) for s in range(len(part.tokens) - n + 1)]
+    return max(min(windows) - n // GAP_EVERY * (SHINGLE - 1 + GAP_ITEM), 1)
+
+
 class Index:
-    """Band values of all segments of the items' parts."""
+    """Band values of all segments of the items' parts, and the parts of every shingle."""
 
     def __init__(self, parts: list[Part]):
         self.parts = parts
-        self.by_shingle = [p.index() for p in parts]
-        self.hashes = [np.unique(shingles(p.tokens)) for p in parts]
-        own, values = [], []
-        for k, p in enumerate(parts):
-            h = shingles(p.tokens)
+        self.hashes = [shingles(p.tokens) for p in parts]
+        own, segments = [], []
+        for k, h in enumerate(self.hashes):
             size = SEGMENT - SHINGLE + 1
             for s in sorted({*range(0, max(len(h) - size, 0) + 1, SEGMENT_STEP), max(len(h) - size, 0)}):
                 own.append(k)
-                values.append((h[s : s + size][:, None] * _MULTIPLIERS).min(axis=0))
+                segments.append(h[s : s + size])
         self.owner = np.array(own, dtype=np.int64)
-        table_ = np.array(values, dtype=np.uint64).reshape(len(own), N_BANDS)
-        order = np.argsort(table_, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(table_, order, axis=0)
-        self.sorted_owner = self.owner[order] if len(own) else np.zeros((0, N_BANDS), dtype=np.int64)
-
-    def candidates(self, hashes: list[np.ndarray]) -> set[tuple[int, int]]:
-        """(document position, part position) of all documents of a batch with an agreeing band."""
-        found: set[tuple[int, int]] = set()
-        if not len(self.owner):
-            return found
+        low = np.concatenate(segments).astype(np.uint32) if own else np.zeros(0, dtype=np.uint32)
+        begin = np.cumsum([0] + [len(x) for x in segments])[:-1]
+        self.sorted, self.sorted_owner = [], []
+        for m in _MULTIPLIERS if own else []:
+            v = np.minimum.reduceat(low * m, begin)
+            order = np.argsort(v, kind="stable")
+            self.sorted.append(v[order])
+            self.sorted_owner.append(self.owner[order])
+        distinct = [np.unique(h) for h in self.hashes]
+        self.least = np.array([least_shared(p, h) for p, h in zip(parts, self.hashes, strict=True)], dtype=np.int64)
+        flat = np.concatenate(distinct) if parts else np.zeros(0, dtype=np.uint64)
+        of = np.repeat(np.arange(len(parts)), [len(h) for h in distinct])
+        order = np.argsort(flat, kind="stable")
+        self.shingle, first = np.unique(flat[order], return_index=True)
+        self.part_of, self.first = of[order], np.append(first, len(flat))
+
+    def candidates(self, hashes: list[np.ndarray]) -> np.ndarray:
+        """Sorted numbers document * parts + part of all documents of a batch with an agreeing band."""
         n = np.array([len(h) for h in hashes])
         live = np.flatnonzero(n)
-        if not len(live):
-            return found
-        flat = np.concatenate([hashes[d] for d in live])
-        blocks = np.ceil(n[live] / STEP).astype(np.int64)
-        first = np.cumsum(n[live]) - n[live]
-        doc_of_block = np.repeat(np.arange(len(live)), blocks)
-        number = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        begin = first[doc_of_block] + number * STEP
+        if not len(self.owner) or not len(live):
+            return np.zeros(0, dtype=np.int64)
+        flat = np.concatenate([hashes[d] for d in live]).astype(np.uint32)
+        n = n[live]
+        first = np.cumsum(n) - n
+        blocks = -(-n // STEP)
+        doc = np.repeat(live, blocks)
+        number = np.arange(len(doc)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        begin, size = number * STEP, np.minimum(np.repeat(n, blocks) - number * STEP, STEP)
+        # one column a block; a short one repeats its last shingle
+        table = flat[np.repeat(first, blocks) + begin + np.minimum(np.arange(STEP)[:, None], size - 1)]
         # a window is a block and the next of the same document; the last block of a longer document has its window already
-        paired = np.append(doc_of_block[1:] == doc_of_block[:-1], False)
-        size = np.diff(np.append(begin, len(flat)))
+        paired = np.append(doc[1:] == doc[:-1], False)
         window = np.flatnonzero(paired | (number == 0))
         length = size[window] + np.where(paired[window], np.append(size[1:], 0)[window], 0)
-        lower = 0
-        for upper in PARTITIONS:
-            w = window[(length > lower) & (length <= upper)]
-            lower = upper
-            if not len(w):
-                continue
-            for j in range(bands(upper)):
-                m = np.minimum.reduceat(flat * _MULTIPLIERS[j], begin)
-                v = np.where(paired[w], np.minimum(m[w], np.append(m[1:], 0)[w]), m[w])
-                col = self.sorted[:, j]
-                lo = np.searchsorted(col, v, "left")
-                hit = np.flatnonzero((lo < len(col)) & (col[np.minimum(lo, len(col) - 1)] == v))
-                for x in hit:
-                    at = lo[x]
-                    d = int(live[doc_of_block[w[x]]])
-                    while at < len(col) and col[at] == v[x]:
-                        found.add((d, int(self.sorted_owner[at, j])))
-                        at += 1
-        return found
-
-
-def contained(hashes: np.ndarray, part_hashes: np.ndarray) -> int:
-    """How many distinct shingles of a part a text contains."""
-    return int(np.isin(part_hashes, hashes).sum())
-
-
-#: Costs of chaining: a changed word or foreign line between two runs costs as much as so many words.
-GAP_COST, GAP_ITEM, GAP_DOC = 4, 2, 60
-#: At most one gap in so many words of a passage, and the exact shingles that a candidate must share.
-GAP_EVERY, LEAST_SHARED = 10, 7
+        wanted = np.array([bands(u) for u in PARTITIONS])[np.searchsorted(PARTITIONS, length)]
+        found = []
+        for j in range(N_BANDS):
+            at = window[wanted > j]
+            m = (table * _MULTIPLIERS[j]).min(axis=0)
+            v = np.where(paired[at], np.minimum(m[at], np.append(m[1:], 0)[at]), m[at])
+            lo, hi = np.searchsorted(self.sorted[j], v, "left"), np.searchsorted(self.sorted[j], v, "right")
+            hit = np.flatnonzero(hi > lo)
+            if len(hit):
+                many = hi[hit] - lo[hit]
+                found.append(np.repeat(doc[at[hit]], many) * len(self.parts) + self.sorted_owner[j][_runs(lo[hit], many)])
+        return np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
+
+    def contained(self, hashes: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
+        """Those of `pairs` whose document has at least LEAST_SHARED distinct shingles of the part, or all of a shorter one."""
+        if not len(pairs):
+            return pairs
+        docs = np.unique(pairs // len(self.parts))
+        h = [np.unique(hashes[d]) for d in docs]
+        flat, who = np.concatenate(h), np.repeat(docs, [len(x) for x in h])
+        at = np.minimum(np.searchsorted(self.shingle, flat), len(self.shingle) - 1)
+        hit = self.shingle[at] == flat
+        at, who = at[hit], who[hit]
+        many = self.first[at + 1] - self.first[at]
+        key = np.repeat(who, many) * len(self.parts) + self.part_of[_runs(self.first[at], many)]
+        key, count = np.unique(key, return_counts=True)
+        enough = key[count >= self.least[key % len(self.parts)]]
+        return pairs[np.isin(pairs, enough, assume_unique=True)]
+
+
+def band_values(h: np.ndarray, size: int, step: int) -> set[tuple[int, int]]:
+    """(band, value) of every window of `size` shingles each `step`, the last one whole; a window of more
+    shingles has more bands, and those of a partition are the first of all."""
+    out: set[tuple[int, int]] = set()
+    if not len(h):
+        return out
+    low = h.astype(np.uint32)
+    begin = sorted({*range(0, max(len(h) - size, 0) + 1, step), max(len(h) - size, 0)})
+    n = bands(next(u for u in PARTITIONS if min(len(h), size) <= u)) if size == WINDOW else N_BANDS
+    for j, m in enumerate(_MULTIPLIERS[:n]):
+        v = low * m
+        out |= {(j, int(v[s : s + size].min())) for s in begin}
+    return out
 
 
-def best_chain(doc: list[str], part: Part, index: dict[tuple, list[int]]) -> list[tuple[int, int]]:
-    """Runs (begin, end) in the part's words of the best chain of shared runs, in order."""
-    runs: list[list[int]] = []  # doc begin, part begin, length
-    open_runs: dict[int, list[int]] = {}
-    for j in range(len(doc) - SHINGLE + 1):
-        hits = index.get(tuple(doc[j : j + SHINGLE]))
-        nxt: dict[int, list[int]] = {}
-        if hits:
-            for i in hits:
-                r = open_runs.get(i - j)
-                if r is None:
-                    r = [j, i, SHINGLE]
-                    runs.append(r)
-                else:
-                    r[2] += 1
-                nxt[i - j] = r
-        open_runs = nxt
-    runs.sort(key=lambda r: (r[0], r[1]))
+def shared_runs(doc: list[str], hashes: np.ndarray, part: Part, own: np.ndarray) -> list[list[int]]:
+    """Maximal runs [document begin, part begin, length] of words that both have, of at least a shingle."""
+    order = np.argsort(own, kind="stable")
+    lo, hi = np.searchsorted(own[order], hashes, "left"), np.searchsorted(own[order], hashes, "right")
+    at = np.flatnonzero(hi > lo)
+    many = hi[at] - lo[at]
+    j = np.repeat(at, many)
+    i = order[_runs(lo[at], many)] if len(at) else j
+    runs = []
+    order = np.lexsort((j, j - i))
+    j, i = j[order].tolist(), i[order].tolist()
+    for a, b in zip(j, i, strict=True):
+        if doc[a : a + SHINGLE] != part.tokens[b : b + SHINGLE]:
+            continue  # a hash in common only
+        if runs and runs[-1][0] - runs[-1][1] == a - b and runs[-1][0] + runs[-1][2] - SHINGLE + 1 == a:
+            runs[-1][2] += 1
+        else:
+            runs.append([a, b, SHINGLE])
+    return sorted(runs)
+
+
+def best_chain(runs: list[list[int]]) -> list[list[int]]:
+    """The best chain of runs, in order."""
     best, score, back = -1, [0] * len(runs), [-1] * len(runs)
+    longest = max((r[2] for r in runs), default=0)
     for b, (jb, ib, nb) in enumerate(runs):
         score[b] = nb
         for a in range(b - 1, -1, -1):
             ja, ia, na = runs[a]
-            if jb - ja > GAP_DOC + na + 400:
+            if jb - ja > GAP_DOC + longest:
                 break
             gap_i, gap_j = ib - (ia + na), jb - (ja + na)
             over = max(-gap_i, -gap_j, 0)  # a repeated word may belong to both runs
@@ -272,71 +317,105 @@ def best_chain(doc: list[str], part: Part, index: dict[tuple, list[int]]) -> lis
             best = b
     out = []
     while best >= 0:
-        out.append((runs[best][1], runs[best][1] + runs[best][2]))
+        out.append(runs[best])
         best = back[best]
     return out[::-1]
 
 
-def leaked(doc: list[str], part: Part, index: dict[tuple, list[int]]) -> bool:
+def beyond(doc: list[str], words: list[str], j: int, i: int, step: int) -> int:
+    """Words of the part behind a changed one at an end of a chain, the changed one included, where text and part agree again."""
+    for gap_j, gap_i in ((1, 1), (1, 0), (0, 1)):  # changed, put in, left out
+        n = 0
+        while 0 <= (a := j + step * (gap_j + n)) < len(doc) and 0 <= (b := i + step * (gap_i + n)) < len(words) and doc[a] == words[b]:
+            n += 1
+        if n:
+            return n + gap_i
+    return 0
+
+
+def leaked(doc: list[str], hashes: np.ndarray, part: Part, own: np.ndarray) -> bool:
     """Exact verification of one candidate."""
-    chain = best_chain(doc, part, index)
+    chain = best_chain(shared_runs(doc, hashes, part, own))
     if not chain:
         return False
+    begin, end = chain[0][1], chain[-1][1] + chain[-1][2]
     if not part.solution:
-        # a changed word next to an end of the passage hides up to EDGE words of it; changed words are far from each other
-        span = chain[-1][1] - chain[0][0]
-        return span >= min(PASSAGE_WORDS, len(part.tokens)) - EDGE and (len(chain) - 1) * GAP_EVERY <= span
-    seen = Counter(part.line_of[i] for i in range(chain[0][0], chain[-1][1]))
+        gaps, least = len(chain) - 1, min(PASSAGE_WORDS, len(part.tokens))
+        if end - begin < least:  # a changed word near an end hides the fewer than SHINGLE words behind it
+            more = beyond(doc, part.tokens, chain[0][0] - 1, begin - 1, -1), beyond(doc, part.tokens, chain[-1][0] + chain[-1][2], end, 1)
+            begin, end, gaps = begin - more[0], end + more[1], gaps + (more[0] > 0) + (more[1] > 0)
+        return end - begin >= least and gaps * GAP_EVERY <= end - begin
+    seen = Counter(part.line_of[i] for i in range(begin, end))
     size = Counter(part.line_of)
     whole = sum(2 * seen[line] > size[line] for line in seen)
     return 2 * whole > part.n_lines
 
 
 def search(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", block: int = ITEM_BLOCK) -> DataFrame:
-    """(key, item_id) of every document that contains passages of an item."""
-    key_type = documents.schema[key].dataType.simpleString()
-    sc = documents.sparkSession.sparkContext
+    """(key, item_id) of every document that contains passages of an item.
+
+    Up to `block` items, the index of all segments is handed to the executors. More items are
+    joined with the documents' windows on their band values. Documents are read in one pass
+    either way, and the result is the same.
+    """
+    wanted = items.where("item_id is not null").select("item_id", "prompt", "solution")
+    head = instruction(wanted)
     docs = spread(documents.select(key, text))
-    out = None
-    rows: list[tuple] = []
-    prompts: Counter = Counter()
-
-    def flush() -> None:
-        nonlocal out, rows
-        common = prompts.most_common(1)
-        head = instruction([r[1] for r in rows if r[1]]) or (common[0][0] if common and common[0][1] > 1 else "")
-        shared = sc.broadcast(parts_of(rows, head))
-        rows = []
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value)
-            for b in batches:
-                for s in range(0, b.num_rows, 2000):
-                    piece = b.slice(s, 2000)
-                    keys, texts = piece.column(0).to_pylist(), piece.column(1).to_pylist()
-                    tokens = [words(t) if t else [] for t in texts]
-                    hashes = [shingles(t) for t in tokens]
-                    pairs = {
-                        (keys[d], index.parts[p].item_id)
-                        for d, p in index.candidates(hashes)
-                        if contained(hashes[d], index.hashes[p]) >= min(LEAST_SHARED, len(index.hashes[p])) and leaked(tokens[d], index.parts[p], index.by_shingle[p])
-                    }
-                    if pairs:
-                        a, i = zip(*sorted(pairs, key=str), strict=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(a, piece.schema.field(0).type), pa.array(i, pa.int64())], names=[key, "item_id"])
-
-        part = docs.mapInArrow(run, f"`{key}` {key_type}, item_id bigint")
-        out = part if out is None else out.unionByName(part)
-
-    for r in items.where("item_id is not null").select("item_id", "prompt", "solution").toLocalIterator():
-        rows.append(tuple(r))
-        if r[1] and "\n\n" in r[1]:
-            prompts[r[1].split("\n\n", 1)[0]] += 1
-        if len(rows) >= block:
-            flush()
-    if rows or out is None:
-        flush()
-    return out.distinct()
+    few = wanted.take(block + 1)
+    found = _searched(docs, [tuple(r) for r in few], head) if len(few) <= block else _joined(docs, wanted, head)
+    return found.distinct()
+
+
+def _searched(docs: DataFrame, items: list[tuple], head: str) -> DataFrame:
+    """Candidates from an index in every task."""
+    key, kind = docs.columns[0], docs.schema[0].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(parts_of(items, head))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(shared.value)
+        for b in batches:
+            for s in range(0, b.num_rows, 2000):
+                piece = b.slice(s, 2000)
+                tokens = [words(t) if t else [] for t in piece.column(1).to_pylist()]
+                hashes = [shingles(t) for t in tokens]
+                d, p = np.divmod(index.contained(hashes, index.candidates(hashes)), max(len(index.parts), 1))
+                hit = [(x, index.parts[y].item_id) for x, y in zip(d.tolist(), p.tolist(), strict=True) if leaked(tokens[x], hashes[x], index.parts[y], index.hashes[y])]
+                if hit:
+                    at, ids = zip(*sorted(set(hit)), strict=True)
+                    yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(at)), pa.array(ids, pa.int64())], names=[key, "item_id"])
+
+    return docs.mapInArrow(run, f"`{key}` {kind}, item_id bigint")
+
+
+def _joined(docs: DataFrame, items: DataFrame, head: str) -> DataFrame:
+    """Candidates from a join on the band values; only texts of candidates are shuffled."""
+    key, kind = docs.columns[0], docs.schema[0].dataType.simpleString()
+
+    def windows(cols: dict[str, list]) -> Iterator[tuple]:
+        for k, t in zip(cols[key], cols["text"], strict=True):
+            yield from ((k, j, v) for j, v in sorted(band_values(shingles(words(t)), WINDOW, STEP) if t else ()))
+
+    def segments(cols: dict[str, list]) -> Iterator[tuple]:
+        for row in zip(cols["item_id"], cols["prompt"], cols["solution"], strict=True):
+            got = set()
+            for p in parts_of([row], head):
+                got |= band_values(shingles(p.tokens), SEGMENT - SHINGLE + 1, SEGMENT_STEP)
+            yield from ((row[0], j, v) for j, v in sorted(got))
+
+    texts = docs.toDF(key, "text")
+    left = arrow_map(texts, windows, f"`{key}` {kind}, band int, value bigint")
+    right = arrow_map(items, segments, "item_id bigint, band int, value bigint")
+    pairs = materialize(left.join(right, ["band", "value"]).select(key, "item_id").distinct())
+
+    def verified(cols: dict[str, list]) -> Iterator[tuple]:
+        for k, t, *row in zip(cols[key], cols["text"], cols["item_id"], cols["prompt"], cols["solution"], strict=True):
+            tokens = words(t)
+            h = shingles(tokens)
+            if any(leaked(tokens, h, p, shingles(p.tokens)) for p in parts_of([tuple(row)], head)):
+                yield k, row[0]
+
+    whole = texts.where("text is not null").join(pairs, key).join(items, "item_id").select(key, "text", "item_id", "prompt", "solution")
+    return arrow_map(whole, verified, f"`{key}` {kind}, item_id bigint")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -345,8 +424,6 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many documents each leaked item is in."""
-    from pyspark.sql import functions as F
-
     return p7_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("docs"))
 
 

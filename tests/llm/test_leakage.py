@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from millrace.llm import leakage as L
@@ -55,7 +56,7 @@ def test_forms(spark, items):
 
 def test_search_misses_nothing_that_brute_force_finds(items):
     rng = random.Random(2)
-    parts = L.parts_of(items, L.instruction([p for _, p, _ in items]))
+    parts = L.parts_of(items, COMMON)
     index = L.Index(parts)
     docs = []
     for _ in range(120):
@@ -64,10 +65,45 @@ def test_search_misses_nothing_that_brute_force_finds(items):
         noise = [f"q{rng.randrange(10**6)}" for _ in range(rng.randrange(400))]
         cut = rng.randrange(len(noise) + 1)
         docs.append(noise[:cut] + p[a : a + 22] + noise[cut:])
-    found = index.candidates([L.shingles(d) for d in docs])
-    brute = {(k, j) for k, d in enumerate(docs) for j, p in enumerate(parts) if L.leaked(d, p, index.by_shingle[j])}
+    hashes = [L.shingles(d) for d in docs]
+    found = {divmod(x, len(parts)) for x in index.contained(hashes, index.candidates(hashes)).tolist()}
+    brute = {(k, j) for k, d in enumerate(docs) for j, p in enumerate(parts) if L.leaked(d, hashes[k], p, index.hashes[j])}
     assert brute and len(brute - found) <= 0.01 * len(brute)
 
 
+def test_containment_of_a_batch_equals_that_of_each_pair(items):
+    parts = L.parts_of(items, COMMON)
+    index = L.Index(parts)
+    docs = [parts[k].tokens[:n] * 2 + ["x", "y", "z"] for k in range(0, 40, 3) for n in (5, 12, 70)] + [[], ["a"]]
+    hashes = [L.shingles(d) for d in docs]
+    every = np.arange(len(docs) * len(parts))
+    want = [d * len(parts) + p for d in range(len(docs)) for p in range(len(parts)) if len(set(hashes[d].tolist()) & set(index.hashes[p].tolist())) >= index.least[p]]
+    assert index.contained(hashes, every).tolist() == want and want
+
+
+def verdict(part, doc):
+    return L.leaked(doc, L.shingles(doc), part, L.shingles(part.tokens))
+
+
+def test_twenty_words_and_single_changed_ones():
+    t = [f"t{i}" for i in range(60)]
+    part = L.Part(1, False, t)
+    noise = [f"n{i}" for i in range(30)]
+    cut = lambda a, b, *changed: noise + ["zzz" if i in changed else t[i] for i in range(a, b)] + noise
+    assert verdict(part, cut(10, 30)) and not verdict(part, cut(10, 29)) and not verdict(part, cut(10, 27))
+    assert verdict(part, cut(10, 30, 28)) and verdict(part, cut(10, 30, 11)) and verdict(part, cut(10, 30, 20))
+    assert not verdict(part, cut(10, 30, 12, 16, 20)) and not verdict(part, cut(10, 29, 27))
+    assert verdict(part, cut(0, 60, 12, 27, 42))
+    short = L.Part(1, False, t[:9])
+    assert verdict(short, noise + t[:9]) and not verdict(short, noise + t[:8])
+
+
+def test_chains_over_very_long_runs():
+    t = [f"t{i}" for i in range(3000)]
+    part = L.Part(1, True, t, [i // 10 for i in range(3000)], 300)
+    doc = t[:1400] + ["zzz"] + t[1401:1600]
+    assert verdict(part, doc) and not verdict(part, t[:1400] + ["q"] * 80 + t[2000:2100])
+
+
 def test_bands_follow_the_partition_size():
     assert [L.bands(u) for u in L.PARTITIONS] == sorted(L.bands(u) for u in L.PARTITIONS)
