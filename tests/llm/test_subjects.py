@@ -15,7 +15,8 @@ def test_prose():
     text = "# Heading\n\nOne sentence. Another one!\nwrapped on.\n\n```py\ncode = 1\n```\n- a bullet\n- b bullet\n2024-01-01T10:00:00Z WARN x[1] ok\n> quoted prose here.\n"
     assert S.prose(text) == ["One sentence.", "Another one!", "wrapped on.", "a bullet", "b bullet", "quoted prose here."]
     assert S.prose(None) == [] and S.prose("  \n") == []
-    assert S.sentences("See `fn_name` in a/b.rs and https://x.y/z now", []) == [["see", "in", "and", "now"]]
+    words, owner = S.sentences(["", "See `fn_name` in a/b.rs and https://x.y/z now", None], np.zeros(0, dtype=np.int64))
+    assert words == [["see", "in", "and", "now"]] and owner.tolist() == [1]
 
 
 def corpus(n, seed=1):
@@ -56,15 +57,41 @@ def test_held_out_accuracy_and_cases(spark):
 
 
 def test_quoted_test_passages_do_not_count(spark):
-    rng = random.Random(4)
     prompt = "Rows of violin chord tempo chorus melody octave are ordered by octave then by chord and the violin goes last."
-    t = S.triples([(1, prompt, None)])
-    assert S.sentences(prompt, [t]) == [] and S.sentences("The violin is in the chorus today.", [t])
-    assert rng is not None
+    other = "The violin is in the chorus today."
+    t = S.item_triples([(1, prompt, None)])
+    assert S.sentences([prompt], t)[0] == [] and S.sentences([other], t)[0]
+    docs = spark.createDataFrame([(1, prompt + " " + other, "en"), (2, None, None), (3, other, "de")], "doc_id long, text string, lang string")
+    items = spark.createDataFrame([(1, prompt, None), (2, "Quite another passage of a test item", "x")], "item_id long, prompt string, solution string")
+    got = [{r["doc_id"]: (r["words"], r["sizes"]) for r in S._encode(docs, items, block).collect()} for block in (5, 1)]
+    assert got[0] == got[1] and len(got[0][1][1]) == 1 and got[0][2] == ([], [])
+
+
+def test_topics_are_found_without_labels_and_passes_improve_them(spark):
+    docs, truth = corpus(400)
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    sub = spark.createDataFrame([(1, "payments", "x"), (2, "medicine", "x"), (3, "music", "x")], "subject_id int, subject_name string, description string")
+    lab = spark.createDataFrame([(k, s, "a") for k in range(40) for s in truth[k]], "doc_id long, subject_id int, labeller string")
+    fits = [S.fit(d, lab, sub, passes=n) for n in (0, 3)]
+    spelled = {r["hash"]: r["word"] for r in fits[0].encoded.selectExpr("explode(spelled) as x").select("x.*").collect()}
+    for f in fits:
+        for k, (lead, weight) in enumerate(zip(*S.top_terms(f.topics), strict=True)):
+            if f.subject_of_topic[k] >= 0:
+                own = WORDS[f.subjects[f.subject_of_topic[k]]]
+                terms = [spelled[f.vocabulary[w]] for w, x in zip(lead, weight, strict=True) if x > 0.05]
+                assert sum(t in own for t in terms) * 2 > len(terms)
+
+    def wrong(f):
+        got = {k: set() for k in truth}
+        for r in S.proportions(f).where(f"share >= {S.AREA_SHARE}").collect():
+            got[r["doc_id"]].add(r["subject_id"])
+        return sum(len(got[k] ^ truth[k]) for k in truth)
+
+    assert wrong(fits[1]) <= wrong(fits[0]) and wrong(fits[1]) < 0.05 * len(truth)
 
 
 def test_posterior_is_a_distribution():
-    c = S.corpus([[[0, 1], [2]], [], [[1]]])
+    c = S.corpus([np.array([0, 1, 2]), np.array([]), np.array([1])], [np.array([0, 0, 1]), np.array([]), np.array([0])], np.array([2, 0, 1]))
     topics = np.array([[0.6, 0.3, 0.1], [0.1, 0.3, 0.6]])
     r, counts = S.posterior(c, topics)
     assert np.allclose(r.sum(axis=1), 1) and np.allclose(counts.sum(axis=1), [3, 0, 1])
