@@ -37,7 +37,7 @@ from .common import arrow_map, materialize, spread, table
 #: Topics that start from anchor words (at least, and for each subject), and from all informative words.
 TOPICS, TOPICS_OF_SUBJECT, BACKGROUND = 64, 6, 3
 #: EM passes, variational rounds within a pass, Dirichlet parameters of documents and topics.
-PASSES, ROUNDS, ALPHA, ETA = 3, 4, 0.1, 0.01
+PASSES, ROUNDS, ALPHA, ETA = 2, 4, 0.1, 0.01
 #: A word is in the vocabulary if at least so many documents, and such a share of them, have it.
 MIN_DOCS, MIN_SHARE = 3, 1 / 5000
 #: A word tells documents apart if it is in a smaller share of those of each language; documents that a rare language is taken to have besides its own.
