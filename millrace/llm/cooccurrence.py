@@ -5,15 +5,16 @@ limits (2 to 40 items, at most 25 file paths) are dropped by counts alone, so
 that a bulk commit is never gathered. Each valid basket is one short array.
 Every map task keeps, per item, an associative array of the neighbours met so
 far and hands it on as a *stripe*; stripes of one item are then merged by key in
-a sorted stream. The item's own count travels in its stripe, and the significance
-of a pair is Dunning's log-likelihood ratio against independence.
+a sorted stream. A stripe is split into PARTS by its neighbours, so that no item
+has all of them in one task; the item itself is a neighbour of its own, which counts
+it. The significance of a pair is Dunning's log-likelihood ratio against independence.
 
 Defined cases: rows without run or commit hash belong to no basket; a null item
 counts its file path only; letter case of the hash and leading `./` of a path do
 not matter; repeated rows count once; an empty table gives no pairs. Scale: the
-shuffles are by (run, commit, item) with map-side combine, by basket, and by
-(run, item) of stripes, of which a hot item has at most one per map task and
-flush.
+shuffles are by (run, commit, item) and (run, commit, path) with map-side combine,
+by basket, and by (run, item, part) of stripes, of which a hot item has at most one
+per map task, flush and part.
 """
 
 from __future__ import annotations
@@ -24,23 +25,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 #: Fixed values of the mining rules.
 MAX_FILES, MAX_ITEMS, MIN_ITEMS = 25, 40, 2
 HALF_LIFE_DAYS, MIN_WEIGHT, MAX_WEIGHT = 90.0, 0.001, 1.0
 #: Neighbour entries that a map task keeps before it hands its stripes on.
 FLUSH_ENTRIES = 500_000
+#: Parts of an item's stripe, by its neighbours.
+PARTS = 8
+#: Log-likelihood ratio from which a pair is more than chance at one in a thousand.
+SIGNIFICANT = 10.83
 
-_STRIPE = "run_id bigint, u bigint, n_u bigint, mass_u double, v array<bigint>, c array<bigint>, mass array<double>"
-_PAIR = "run_id bigint, src_id bigint, dst_id bigint, together bigint, mass double, n_src bigint, mass_src double"
+_STRIPE = "run_id bigint, u bigint, part int, v array<bigint>, c array<bigint>, mass array<double>"
+_PAIR = "run_id bigint, src_id bigint, dst_id bigint, together bigint, mass double"
 
 
 def touches(commits: DataFrame) -> DataFrame:
-    """(run_id, h, item, path, ts): the rows that belong to a commit, in one spelling."""
+    """(run_id, h, item, path, ts): the rows that belong to a commit, in one spelling; `h` is binary, half as long for hexadecimal hashes."""
+    low = F.lower("commit_hash")
     return commits.where("run_id is not null and commit_hash is not null").select(
         "run_id",
-        F.lower("commit_hash").alias("h"),
+        F.when(low.rlike("^(?:[0-9a-f]{2})+$"), F.unhex(low)).otherwise(F.encode(F.concat(F.lit("="), low), "utf-8")).alias("h"),
         F.col("symbol_id").alias("item"),
         F.regexp_replace("file_path", r"^(\./)+", "").alias("path"),
         F.col("commit_ts").alias("ts"),
@@ -48,26 +54,22 @@ def touches(commits: DataFrame) -> DataFrame:
 
 
 def baskets(commits: DataFrame) -> DataFrame:
-    """(run_id, h, ts, n_files, items, valid): every commit; `items` is filled for valid ones only.
+    """(run_id, h, ts, n_items, n_files, items, valid) of every commit, written to the shared folder; `items` is filled for valid ones only.
 
     Items and paths are made distinct with the key in the grouping, so one commit
     of any size is counted without being collected; arrays are built only within
     commits that the counts have found short enough.
     """
     t = touches(commits)
-    # one row per distinct item and per distinct path of a commit, tagged
-    parts = t.select("run_id", "h", "ts", F.explode(F.array(F.struct(F.lit(True).alias("is_item"), F.col("item").cast("string").alias("x")), F.struct(F.lit(False).alias("is_item"), F.col("path").alias("x")))).alias("e")).select("run_id", "h", "ts", "e.*")
-    parts = parts.groupBy("run_id", "h", "is_item", "x").agg(F.max("ts").alias("ts"))
-    counts = parts.groupBy("run_id", "h").agg(
-        F.max("ts").alias("ts"),
-        F.count(F.when(F.col("is_item"), F.col("x"))).alias("n_items"),
-        F.count(F.when(~F.col("is_item"), F.col("x"))).alias("n_files"),
-    )
+    items = materialize(t.groupBy("run_id", "h", "item").agg(F.max("ts").alias("ts")))  # read for the counts and for the arrays
+    paths = t.where("path is not null").select("run_id", "h", "path").distinct()
+    n_files = paths.groupBy("run_id", "h").agg(F.count("*").alias("n_files"))
+    counts = items.groupBy("run_id", "h").agg(F.max("ts").alias("ts"), F.count("item").alias("n_items")).join(n_files, ["run_id", "h"], "left").na.fill(0, ["n_files"])
     valid = (F.col("n_items") >= MIN_ITEMS) & (F.col("n_items") <= MAX_ITEMS) & (F.col("n_files") <= MAX_FILES)
     counts = counts.withColumn("valid", valid)
     short = counts.where("valid").select("run_id", "h")
-    items = parts.where("is_item and x is not null").join(short, ["run_id", "h"], "left_semi").groupBy("run_id", "h").agg(F.sort_array(F.collect_list(F.col("x").cast("bigint"))).alias("items"))
-    return counts.join(items, ["run_id", "h"], "left")
+    arrays = items.where("item is not null").join(short, ["run_id", "h"], "left_semi").groupBy("run_id", "h").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    return materialize(counts.join(arrays, ["run_id", "h"], "left"))
 
 
 def weighted(all_baskets: DataFrame, half_life_days: float = HALF_LIFE_DAYS) -> DataFrame:
@@ -79,10 +81,15 @@ def weighted(all_baskets: DataFrame, half_life_days: float = HALF_LIFE_DAYS) ->
 
 
 def _emit(stripes: dict) -> pa.RecordBatch:
-    rows = [(run, u, s[0], s[1], list(s[2]), [x[0] for x in s[2].values()], [x[1] for x in s[2].values()]) for (run, u), s in stripes.items()]
+    rows = []
+    for (run, u), near in stripes.items():
+        parts: dict[int, list[int]] = {}
+        for v in near:
+            parts.setdefault((v ^ (v >> 7)) % PARTS, []).append(v)
+        rows += [(run, u, part, vs, [near[v][0] for v in vs], [near[v][1] for v in vs]) for part, vs in parts.items()]
     cols = list(zip(*rows, strict=True))
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64())]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["run_id", "u", "n_u", "mass_u", "v", "c", "mass"])
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64())]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["run_id", "u", "part", "v", "c", "mass"])
 
 
 def _stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,13 +98,10 @@ def _stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for run, items, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             for i, u in enumerate(items):
-                s = stripes.get((run, u))
-                if s is None:
-                    s = stripes[(run, u)] = [0, 0.0, {}]
-                s[0] += 1
-                s[1] += w
-                near = s[2]
-                for v in items[i + 1 :]:
+                near = stripes.get((run, u))
+                if near is None:
+                    near = stripes[(run, u)] = {}
+                for v in items[i:]:
                     e = near.get(v)
                     if e is None:
                         near[v] = [1, w]
@@ -113,31 +117,25 @@ def _stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stripes arrive sorted by (run, item): one is open at a time."""
-    key, n, mass_u, near = None, 0, 0.0, {}
+    """Stripes arrive sorted by (run, item, part): one is open at a time."""
+    key: tuple | None = None
+    near: dict[int, list] = {}
     out: list[tuple] = []
 
-    def close() -> None:
-        run, u = key
-        out.append((run, u, u, n, mass_u, n, mass_u))  # the diagonal carries the item's own count
-        out.extend((run, u, v, e[0], e[1], n, mass_u) for v, e in near.items())
-
     def batch() -> pa.RecordBatch:
         cols = list(zip(*out, strict=True))
-        types = [pa.int64()] * 4 + [pa.float64(), pa.int64(), pa.float64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["run_id", "src_id", "dst_id", "together", "mass", "n_src", "mass_src"])
+        types = [pa.int64()] * 4 + [pa.float64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["run_id", "src_id", "dst_id", "together", "mass"])
 
     for b in batches:
-        for run, u, m, mu, vs, cs, ms in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
-            if (run, u) != key:
+        for run, u, part, vs, cs, ms in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+            if (run, u, part) != key:
                 if key is not None:
-                    close()
+                    out.extend((key[0], key[1], v, e[0], e[1]) for v, e in near.items())
                     if len(out) >= 50_000:
                         yield batch()
                         out.clear()
-                key, n, mass_u, near = (run, u), 0, 0.0, {}
-            n += m
-            mass_u += mu
+                key, near = (run, u, part), {}
             for v, c, w in zip(vs, cs, ms, strict=True):
                 e = near.get(v)
                 if e is None:
@@ -146,7 +144,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     e[0] += c
                     e[1] += w
     if key is not None:
-        close()
+        out.extend((key[0], key[1], v, e[0], e[1]) for v, e in near.items())
     if out:
         yield batch()
 
@@ -164,16 +162,16 @@ def llr(together: Column, n_u: Column, n_v: Column, n: Column) -> Column:
 def counted_pairs(all_baskets: DataFrame, min_together: int = 1) -> DataFrame:
     """(run_id, src_id, dst_id, together, mass, n_src, mass_src, n_dst, mass_dst, n_valid), src_id < dst_id."""
     stripes = weighted(all_baskets).mapInArrow(_stripes, _STRIPE)
-    cells = stripes.repartition("run_id", "u").sortWithinPartitions("run_id", "u").mapInArrow(_merge, _PAIR).persist()
-    own = cells.where("src_id = dst_id").select("run_id", F.col("dst_id"), F.col("n_src").alias("n_dst"), F.col("mass_src").alias("mass_dst"))
-    pairs = cells.where("src_id < dst_id").where(F.col("together") >= min_together)
+    merged = stripes.repartition("run_id", "u", "part").sortWithinPartitions("run_id", "u", "part").mapInArrow(_merge, _PAIR)
+    cells = materialize(merged.where((F.col("src_id") == F.col("dst_id")) | (F.col("together") >= min_together)))  # read for pairs and twice for single items
+    own = lambda x: cells.where("src_id = dst_id").select("run_id", F.col("src_id").alias(f"{x}_id"), F.col("together").alias(f"n_{x}"), F.col("mass").alias(f"mass_{x}"))
     runs = all_baskets.where("valid").groupBy("run_id").agg(F.count("*").alias("n_valid"))
-    return pairs.join(own, ["run_id", "dst_id"]).join(runs, "run_id")
+    return cells.where("src_id < dst_id").join(own("src"), ["run_id", "src_id"]).join(own("dst"), ["run_id", "dst_id"]).join(runs, "run_id")
 
 
 def significant_pairs(commits: DataFrame, min_together: int = 3, min_lift: float = 3.0, min_llr: float = 0.0) -> DataFrame:
     """Pairs touched together at least `min_together` times and `min_lift` times as often as chance, with their LLR."""
-    all_baskets = baskets(commits).persist()  # read for the last commits, the stripes and the run sizes
+    all_baskets = baskets(commits)
     p = counted_pairs(all_baskets, min_together)
     p = p.where(F.col("together") * F.col("n_valid") >= F.lit(min_lift) * F.col("n_src") * F.col("n_dst"))
     p = p.withColumn("llr", llr(F.col("together"), F.col("n_src"), F.col("n_dst"), F.col("n_valid")))
@@ -186,7 +184,7 @@ def restated_reports(commits: DataFrame, edges: DataFrame, min_support: int = 2,
     Edges count once, without self-loops, if both ends are touched in the run;
     `Contains` counts in both directions. Pairs are directed, as in the reports.
     """
-    all_baskets = baskets(commits).persist()
+    all_baskets = baskets(commits)
     p = counted_pairs(all_baskets, min_support)
     union = F.greatest(F.col("mass_src") + F.col("mass_dst") - F.col("mass"), F.lit(1e-6))
     p = p.where(F.col("mass") / union >= min_jaccard).select("run_id", F.col("src_id").alias("a"), F.col("dst_id").alias("b"), "mass")
@@ -221,7 +219,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return significant_pairs(table(spark, sf_dir, "commit_symbols")).select("run_id", "src_id", "dst_id", "together", "n_src", "n_dst", "n_valid", F.round("llr", 4).alias("llr"))
+    return significant_pairs(table(spark, sf_dir, "commit_symbols"), min_llr=SIGNIFICANT).select("run_id", "src_id", "dst_id", "together", "n_src", "n_dst", "n_valid", F.round("llr", 4).alias("llr"))
 
 
 def p2_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,7 +252,7 @@ QUERIES = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p2_reports": p2_reports}
 ORACLES = {
     "p2_found": f"WITH {_VALID_SQL} SELECT run_id, src_id, dst_id FROM st WHERE c >= 3 AND c * n_valid >= 3 * n_u * n_v",
     "p2_pairs": f"""WITH {_VALID_SQL} SELECT run_id, src_id, dst_id, c AS together, n_u AS n_src, n_v AS n_dst, n_valid,
-        round(2 * ({_LLR_SQL}), 4) AS llr FROM st WHERE c >= 3 AND c * n_valid >= 3 * n_u * n_v""",
+        round(2 * ({_LLR_SQL}), 4) AS llr FROM st WHERE c >= 3 AND c * n_valid >= 3 * n_u * n_v AND 2 * ({_LLR_SQL}) >= {SIGNIFICANT}""",
     "p2_reports": f"""WITH {_VALID_SQL},
 good AS (SELECT run_id, src_id AS a, dst_id AS b, mass FROM st WHERE c >= 2 AND mass / greatest(m_u + m_v - mass, 1e-6) >= 0.05),
 totals AS (SELECT run_id, 2 * count(*) AS total_coedit_pairs FROM good GROUP BY 1),

@@ -90,7 +90,9 @@ def prose(text: str | None) -> list[str]:
 
 
 def _tokens(sentence: str) -> list[str]:
-    return _WORD.findall(_INLINE.sub(" ", sentence).lower())
+    if "/" in sentence or "`" in sentence or "@" in sentence or "::" in sentence:  # nothing else is written inline
+        sentence = _INLINE.sub(" ", sentence)
+    return _WORD.findall(sentence.lower())
 
 
 _cache: dict[str, int] = {}
@@ -172,8 +174,8 @@ def corpus(words: list[np.ndarray], at: list[np.ndarray], sizes: np.ndarray) ->
 def posterior(c: Corpus, topics: np.ndarray, rounds: int = ROUNDS, alpha: float = ALPHA) -> tuple[np.ndarray, np.ndarray]:
     """(topic posterior of each occurrence, expected topic counts of each document)."""
     k = topics.shape[0]
-    like = topics.T[c.word]
-    theta = np.full((c.n_docs, k), 1.0)
+    like = topics.T.astype(np.float32)[c.word]
+    theta = np.full((c.n_docs, k), 1.0, dtype=np.float32)
     if not len(c.word):
         return like, theta * 0
     begin = np.flatnonzero(np.append(True, c.doc[1:] != c.doc[:-1]))
@@ -181,7 +183,7 @@ def posterior(c: Corpus, topics: np.ndarray, rounds: int = ROUNDS, alpha: float
     r = like
     for _ in range(rounds):
         r = like * theta[c.doc]
-        r /= np.maximum(r.sum(axis=1, keepdims=True), 1e-300)
+        r /= np.maximum(r.sum(axis=1, keepdims=True), 1e-30)
         counts = np.add.reduceat(r, begin, axis=0)
         theta[:] = alpha
         theta[who] += counts
@@ -245,7 +247,7 @@ def mapping(topics: np.ndarray, evidence: np.ndarray, share: np.ndarray) -> list
 
 def shares(c: Corpus, topics: np.ndarray, subject_of_topic: list[int], n_subjects: int) -> np.ndarray:
     """Share of each document's sentences that each subject's topics hold."""
-    r, _ = posterior(c, topics, rounds=2 * ROUNDS)
+    r, _ = posterior(c, topics, rounds=ROUNDS + 2)
     n_sentences = len(c.sentence_doc)
     mass = np.zeros((n_sentences, n_subjects))
     for k, s in enumerate(subject_of_topic):

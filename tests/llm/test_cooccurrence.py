@@ -60,6 +60,19 @@ def test_against_brute_force(spark, monkeypatch):
         assert (r["n_src"], r["n_dst"], r["n_valid"]) == (one[run, a], one[run, b], n[run]) and r["llr"] > 0
 
 
+def test_a_hot_item_is_split_and_the_level_of_significance_holds(spark):
+    data = [(1, 1, f"{c:040x}", 1000 + c, "f", s, None, "x") for c in range(300) for s in (7, 100 + c % 97, 300 + c % 89)]
+    df = spark.createDataFrame(data, SCHEMA)
+    stripes = C.weighted(C.baskets(df)).mapInArrow(C._stripes, C._STRIPE)
+    parts = stripes.where("u = 7").select("part").distinct().count()
+    assert parts == C.PARTS
+    p = {(r["src_id"], r["dst_id"]): r for r in C.counted_pairs(C.baskets(df)).collect()}
+    assert p[7, 100]["n_src"] == 300 and p[7, 100]["together"] == p[7, 100]["n_dst"]
+    every = C.significant_pairs(df, 1, 0.0).select("llr").collect()
+    kept = C.significant_pairs(df, 1, 0.0, C.SIGNIFICANT).count()
+    assert 0 < kept < len(every) and kept == sum(r["llr"] >= C.SIGNIFICANT for r in every)
+
+
 def test_llr_is_zero_at_chance(spark):
     df = spark.createDataFrame([(25, 50, 50, 100), (50, 50, 50, 100)], "c long, u long, v long, n long")
     a, b = (r[0] for r in df.select(C.llr(F.col("c"), F.col("u"), F.col("v"), F.col("n"))).collect())
