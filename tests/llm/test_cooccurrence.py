@@ -61,7 +61,7 @@ def test_against_brute_force(spark, monkeypatch):
 
 
 def test_a_hot_item_is_split_and_the_level_of_significance_holds(spark):
-    data = [(1, 1, f"{c:040x}", 1000 + c, "f", s, None, "x") for c in range(300) for s in (7, 100 + c % 97, 300 + c % 89)]
+    data = [(1, 1, f"{c:040x}", 1000 + c, "f", s, None, "x") for c in range(300) for s in (7, 100 + c % 97, 300 + c % 89, *((500, 501) if c % 10 == 0 else ()))]
     df = spark.createDataFrame(data, SCHEMA)
     stripes = C.weighted(C.baskets(df)).mapInArrow(C._stripes, C._STRIPE)
     parts = stripes.where("u = 7").select("part").distinct().count()
