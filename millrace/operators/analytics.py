@@ -77,9 +77,12 @@ def drift(nodes: DataFrame, edges: DataFrame, membership: DataFrame, least: floa
 
 
 def impact(edges: DataFrame, roots: DataFrame, max_depth: int = 9) -> DataFrame:
-    """(root, id, depth) of everything that depends on a root, level by level against the edges; depth 1 are the callers."""
+    """(root, id, depth) of everything that depends on a root, level by level against the edges; depth 1 are the callers.
+
+    `roots` (id), or (root, id) where several nodes are changed together under one name.
+    """
     back = edges.select(F.col("dst").alias("at"), F.col("src").alias("id")).distinct()
-    seen = roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth")).distinct()
+    seen = roots.select(F.col("root" if "root" in roots.columns else "id").alias("root"), "id", F.lit(0).alias("depth")).distinct()
     frontier = seen
     for depth in range(1, max_depth):
         nxt = frontier.select("root", F.col("id").alias("at")).join(back, "at").select("root", "id").distinct().join(seen, ["root", "id"], "left_anti")

@@ -44,34 +44,53 @@ def parse_log(log: DataFrame) -> DataFrame:
 def changed_symbols(rows: DataFrame, symbols: DataFrame) -> DataFrame:
     """(key, id, hits, weight): symbols whose span holds changed rows; of a file without any, all its symbols.
 
-    `rows` (key, path, row); `symbols` (id, file_path, start_row, end_row). Paths are
-    brought to one spelling and joined equal; the interval is a residual of that
-    equi-join, so no inequality join is planned.
+    `rows` (key, path, row); `symbols` (id, file_path, start_row, end_row) and, where paths recur in several
+    checkouts, the `key` they belong to. Paths in one spelling match if they are equal or one of them ends
+    with the other's components. The join is by the file's name (and the key); the interval and the folders
+    are residuals of that equi-join, so no inequality join is planned.
     """
-    r = rows.select("key", T.normalized_path(F.col("path")).alias("path"), "row")
-    s = symbols.select("id", T.normalized_path(F.col("file_path")).alias("path"), "start_row", "end_row")
-    j = r.join(s, "path")
+    keyed = [c for c in ("key",) if c in symbols.columns]
+    name = F.substring_index("path", "/", -1)
+    r = rows.select("key", T.normalized_path(F.col("path")).alias("path"), "row").withColumn("name", name)
+    s = symbols.select(*keyed, "id", T.normalized_path(F.col("file_path")).alias("path"), "start_row", "end_row").withColumn("name", name).withColumnRenamed("path", "own")
+    slash = lambda c: F.concat(F.lit("/"), F.col(c))
+    j = r.join(s, [*keyed, "name"]).where((F.col("path") == F.col("own")) | F.endswith(slash("path"), slash("own")) | F.endswith(slash("own"), slash("path")))
     inside = (F.col("row") >= F.col("start_row")) & (F.col("row") <= F.col("end_row"))
     hits = j.groupBy("key", "path", "id").agg(F.sum(inside.cast("int")).alias("hits"))
     any_hit = F.max("hits").over(Window.partitionBy("key", "path"))
-    hits = hits.withColumn("any", any_hit).where("hits > 0 or any = 0").select("key", "id", F.greatest("hits", F.lit(1)).alias("hits"))
+    hits = hits.withColumn("any", any_hit).where("hits > 0 or any = 0").groupBy("key", "id").agg(F.greatest(F.sum("hits"), F.lit(1)).alias("hits"))
     raw = 1.0 + F.col("hits") * 0.2
     top = F.max(raw).over(Window.partitionBy("key"))
     return hits.withColumn("weight", F.greatest(F.least(raw / top, F.lit(1.0)), F.lit(0.1)))
 
 
-def couplings(items: DataFrame, half_life_days: float = 90.0, max_items: int = MAX_ITEMS, min_support: int = MIN_SUPPORT, min_jaccard: float = MIN_JACCARD) -> DataFrame:
-    """(grp, src, dst, raw_count, support, confidence, jaccard), both directions of every coupled pair.
+def commit_sizes(items: DataFrame, max_items: int = MAX_ITEMS, max_files: int = MAX_FILES) -> DataFrame:
+    """(grp, commit, t, n, n_files, megacommit, valid): commits of `items` (grp, commit, ts, item, and `path` if known).
 
-    `items` (grp, commit, ts, item): commits of 2 to `max_items` items count, weighted
-    by recency before the group's last commit. Pairs come from a self-join within
-    commits, which the item limit bounds.
+    A row with null item counts its file only. A commit of more files or items than the limits is a
+    megacommit; any other is valid from MIN_ITEMS items on.
     """
-    x = items.groupBy("grp", "commit", "item").agg(F.max("ts").alias("ts"))
-    size = x.groupBy("grp", "commit").agg(F.count("*").alias("n"), F.max("ts").alias("t"))
+    files = F.countDistinct("path") if "path" in items.columns else F.lit(0)
+    c = items.groupBy("grp", "commit").agg(F.max("ts").alias("t"), F.countDistinct("item").alias("n"), files.alias("n_files"))
+    mega = (F.col("n_files") > max_files) | (F.col("n") > max_items)
+    return c.withColumn("megacommit", mega).withColumn("valid", ~mega & (F.col("n") >= MIN_ITEMS))
+
+
+def valid_items(items: DataFrame, half_life_days: float = 90.0, max_items: int = MAX_ITEMS, max_files: int = MAX_FILES) -> DataFrame:
+    """(grp, commit, item, w): the distinct items of valid commits with the commit's weight by recency before the group's last commit."""
+    size = commit_sizes(items, max_items, max_files)
     last = size.groupBy("grp").agg(F.max("t").alias("last_t"))
-    ok = size.where((F.col("n") >= MIN_ITEMS) & (F.col("n") <= max_items)).join(last, "grp").select("grp", "commit", T.recency_weight(F.col("last_t") - F.col("t"), half_life_days).alias("w"))
-    v = x.select("grp", "commit", "item").join(ok, ["grp", "commit"])
+    ok = size.where("valid").join(last, "grp").select("grp", "commit", T.recency_weight(F.col("last_t") - F.col("t"), half_life_days).alias("w"))
+    return items.where("item is not null").select("grp", "commit", "item").distinct().join(ok, ["grp", "commit"])
+
+
+def couplings(items: DataFrame, half_life_days: float = 90.0, max_items: int = MAX_ITEMS, min_support: int = MIN_SUPPORT, min_jaccard: float = MIN_JACCARD, max_files: int = MAX_FILES) -> DataFrame:
+    """(grp, src, dst, raw_count, support, confidence, jaccard), both directions of every coupled pair.
+
+    `items` as in `commit_sizes`; valid commits count, weighted by recency. Pairs come from
+    a self-join within commits, which the item limit bounds.
+    """
+    v = valid_items(items, half_life_days, max_items, max_files)
     one = v.groupBy("grp", "item").agg(F.sum("w").alias("c"))
     a = v.select("grp", "commit", F.col("item").alias("u"), "w")
     b = v.select("grp", "commit", F.col("item").alias("v"))
@@ -85,6 +104,24 @@ def couplings(items: DataFrame, half_life_days: float = 90.0, max_items: int = M
     return directed("u", "v", "cu").unionByName(directed("v", "u", "cv"))
 
 
+def directed_edges(coupled: DataFrame, min_confidence: float = 0.3) -> DataFrame:
+    """(grp, src, dst, relation, weight): couplings of at least a confidence as edges of a graph."""
+    return coupled.where(F.col("confidence") >= min_confidence).select("grp", "src", "dst", F.lit("CoChangesWith").alias("relation"), F.col("confidence").alias("weight"))
+
+
+def couplings_of(coupled: DataFrame, k: int | None = None) -> DataFrame:
+    """`coupled` with the rank of each partner of its source, the most confident first; the `k` best where given."""
+    w = Window.partitionBy("grp", "src").orderBy(F.desc("confidence"), F.desc("raw_count"), "dst")
+    ranked = coupled.withColumn("rank", F.row_number().over(w).cast("bigint"))
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
+
+
+def confidence_of(coupled: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(grp, src, dst, confidence, jaccard) of the asked (grp, src, dst), 0 where the two are not coupled."""
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    return pairs.select("grp", "src", "dst").join(coupled, ["grp", "src", "dst"], "left").select("grp", "src", "dst", zero("confidence"), zero("jaccard"))
+
+
 def learned_weights(rates: DataFrame, commits: DataFrame, confidence: DataFrame) -> DataFrame:
     """(grp, layer, weight): layer weights shrunk towards their defaults by the number of valid commits.
 

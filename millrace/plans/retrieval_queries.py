@@ -9,7 +9,7 @@ from millrace.functions import text as T
 from millrace.operators import history as H
 from millrace.operators import retrieval as R
 
-from .base import NODES, TRANSITION, nodes, table, words_sql
+from .base import EDGES, NODES, TRANSITION, nodes, table, words_sql
 from .graph_queries import transition
 
 #: The stated queries.
@@ -69,8 +69,8 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
 def _suppliers(spark: SparkSession, d: str) -> DataFrame:
     """Orders as commits and suppliers as the items they touch."""
     o = table(spark, d, "orders").select("o_orderkey", F.unix_timestamp("o_orderdate").alias("ts"))
-    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("item"))
-    return li.join(o, "o_orderkey").select(F.lit(1).alias("grp"), F.col("o_orderkey").alias("commit"), "ts", "item")
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("item"), F.col("l_partkey").alias("path"))
+    return li.join(o, "o_orderkey").select(F.lit(1).alias("grp"), F.col("o_orderkey").alias("commit"), "ts", "item", "path")
 
 
 def coedit_top_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -79,9 +79,9 @@ def coedit_top_pairs(spark: SparkSession, d: str) -> DataFrame:
     return x.orderBy(F.desc("support"), F.desc("raw_count"), "src", "dst").limit(20)
 
 
-def _commits(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "commit_symbols").where("run_id is not null and commit_hash is not null and symbol_id is not null")
-    return c.select(F.col("run_id").alias("grp"), F.lower("commit_hash").alias("commit"), F.col("commit_ts").alias("ts"), F.col("symbol_id").alias("item"))
+def _commits(spark: SparkSession, d: str, grp: str = "run_id") -> DataFrame:
+    c = table(spark, d, "commit_symbols").where(f"{grp} is not null and commit_hash is not null")
+    return c.select(F.col(grp).alias("grp"), F.lower("commit_hash").alias("commit"), F.col("commit_ts").alias("ts"), F.col("symbol_id").alias("item"), T.normalized_path(F.col("file_path")).alias("path"))
 
 
 def coedit_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -91,17 +91,34 @@ def coedit_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def megacommit_filter(spark: SparkSession, d: str) -> DataFrame:
     """Commits of each run that count, are too large, or touch too little."""
-    t = table(spark, d, "commit_symbols").where("run_id is not null and commit_hash is not null").select("run_id", F.lower("commit_hash").alias("h"), "symbol_id", T.normalized_path(F.col("file_path")).alias("p"))
-    c = t.groupBy("run_id", "h").agg(F.countDistinct("symbol_id").alias("n"), F.countDistinct("p").alias("f"))
-    big = (F.col("f") > H.MAX_FILES) | (F.col("n") > H.MAX_ITEMS)
-    k = lambda x: F.sum(x.cast("int")).alias
-    return c.groupBy("run_id").agg(F.count("*").alias("commits"), k(big)("megacommits"), k(~big & (F.col("n") >= 2))("valid"), k(~big & (F.col("n") < 2))("small"))
+    c = H.commit_sizes(_commits(spark, d))
+    k = lambda x: F.sum(F.expr(x).cast("int")).alias
+    return c.groupBy(F.col("grp").alias("run_id")).agg(F.count("*").alias("commits"), k("megacommit")("megacommits"), k("valid")("valid"), k("not megacommit and not valid")("small"))
 
 
 def coedit_counts(spark: SparkSession, d: str) -> DataFrame:
-    x = _commits(spark, d).groupBy("grp", "commit", "item").agg(F.max("ts").alias("ts"))
-    last = x.groupBy("grp").agg(F.max("ts").alias("last_ts"))
-    return x.join(last, "grp").groupBy("grp", "item").agg(F.count("*").alias("commits"), F.round(F.sum(T.recency_weight(F.col("last_ts") - F.col("ts"))), 4).alias("weight"))
+    """In how many valid commits of each run a symbol is, and their weight."""
+    return H.valid_items(_commits(spark, d)).groupBy("grp", "item").agg(F.count("*").alias("commits"), F.round(F.sum("w"), 4).alias("weight"))
+
+
+def coedit_edges(spark: SparkSession, d: str) -> DataFrame:
+    return H.directed_edges(H.couplings(_commits(spark, d))).withColumn("weight", F.round("weight", 4))
+
+
+def coedit_per_source(spark: SparkSession, d: str) -> DataFrame:
+    """The five most confident partners of each symbol."""
+    x = H.couplings(_commits(spark, d)).withColumn("confidence", F.round("confidence", 9))
+    return H.couplings_of(x, 5).select("grp", "src", "dst", "rank", F.round("confidence", 4).alias("confidence"))
+
+
+def coedit_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Confidence of every call between symbols that a run touched, 0 for those not coupled."""
+    from .base import edges
+
+    calls = edges(spark, d).where("relation = 'Calls'").select("src", "dst").distinct()
+    seen = _commits(spark, d).where("item is not null").select("grp", F.col("item").alias("src")).distinct()
+    x = H.confidence_of(H.couplings(_commits(spark, d)), seen.join(calls, "src"))
+    return x.select("grp", "src", "dst", *(F.round(c, 4).alias(c) for c in ("confidence", "jaccard")))
 
 
 def _layers(spark: SparkSession, d: str) -> DataFrame:
@@ -114,8 +131,7 @@ def _layers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _repo_couplings(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "commit_symbols").where("repo_id is not null and commit_hash is not null and symbol_id is not null")
-    return H.couplings(c.select(F.col("repo_id").alias("grp"), F.lower("commit_hash").alias("commit"), F.col("commit_ts").alias("ts"), F.col("symbol_id").alias("item")))
+    return H.couplings(_commits(spark, d, "repo_id"))
 
 
 def _rates(spark: SparkSession, d: str) -> DataFrame:
@@ -132,8 +148,7 @@ def layer_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def learned_weights(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "commit_symbols").where("repo_id is not null and commit_hash is not null and symbol_id is not null").groupBy(F.col("repo_id").alias("grp"), F.lower("commit_hash").alias("h")).agg(F.countDistinct("symbol_id").alias("n"))
-    valid = c.where(f"n between 2 and {H.MAX_ITEMS}").groupBy("grp").agg(F.count("*").alias("valid"))
+    valid = H.commit_sizes(_commits(spark, d, "repo_id")).where("valid").groupBy("grp").agg(F.count("*").alias("valid"))
     conf = _repo_couplings(spark, d).groupBy("grp").agg(F.avg("confidence").alias("mean_confidence"))
     rates = _rates(spark, d).select(F.col("repo_id").alias("grp"), "layer", "rate")
     return H.learned_weights(rates, valid, conf).select("grp", "layer", F.round("weight", 2).alias("weight"))
@@ -158,10 +173,8 @@ def parse_unified_diff(spark: SparkSession, d: str) -> DataFrame:
 
 
 def diff_to_symbols(spark: SparkSession, d: str) -> DataFrame:
-    s = nodes(spark, d).where("span is not null").select("id", "repo_id", "file_path", "span.start_row", "span.end_row")
-    r = H.changed_symbols(H.parse_diff(_diffs(spark, d)), s)
-    # paths may recur in other repositories: the symbol must be of the diff's own
-    return r.join(s.select("id", F.col("repo_id").alias("key")), ["id", "key"]).select("key", "id", F.col("hits").cast("bigint").alias("hits"))
+    s = nodes(spark, d).where("span is not null").select("id", F.col("repo_id").alias("key"), "file_path", "span.start_row", "span.end_row")
+    return H.changed_symbols(H.parse_diff(_diffs(spark, d)), s).select("key", "id", F.col("hits").cast("bigint").alias("hits"))
 
 
 _TOK = f"""{NODES}, dd AS (SELECT id, name, {words_sql('name')} AS a, {words_sql('signature')} AS b, {words_sql('file_path')} AS c, {words_sql("coalesce(docstring, '')")} AS d FROM n)"""
@@ -189,26 +202,28 @@ _BM25 = f"""{_TOK}, {_QT}, st AS (SELECT count(*) AS nd, avg(len(a)) AS avg_a, a
 
 
 def _coedits(source: str) -> str:
-    return f"""ci AS (SELECT grp, h, item, max(ts) AS ts FROM ({source}) GROUP BY 1, 2, 3), sz AS (SELECT grp, h, count(*) AS n, max(ts) AS t FROM ci GROUP BY 1, 2), la AS (SELECT grp, max(t) AS lt FROM sz GROUP BY 1),
- ok AS (SELECT sz.grp, sz.h, least(greatest(power(2.0, -greatest(lt - t, 0) / 7776000.0), 0.001), 1.0) AS w FROM sz JOIN la USING (grp) WHERE n BETWEEN 2 AND 40), v AS (SELECT ci.grp, ci.h, ci.item, ok.w FROM ci JOIN ok ON ok.grp = ci.grp AND ok.h = ci.h),
+    """Couplings of rows (grp, h, item, ts, p)."""
+    return f"""ci AS ({source}), sz AS (SELECT grp, h, count(DISTINCT item) AS n, count(DISTINCT p) AS f, max(ts) AS t FROM ci GROUP BY 1, 2), la AS (SELECT grp, max(t) AS lt FROM sz GROUP BY 1),
+ ok AS (SELECT sz.grp, sz.h, least(greatest(power(2.0, -greatest(lt - t, 0) / 7776000.0), 0.001), 1.0) AS w FROM sz JOIN la USING (grp) WHERE n BETWEEN 2 AND 40 AND f <= 25),
+ v AS (SELECT DISTINCT ci.grp, ci.h, ci.item, ok.w FROM ci JOIN ok ON ok.grp = ci.grp AND ok.h = ci.h WHERE ci.item IS NOT NULL),
  one AS (SELECT grp, item, sum(w) AS c FROM v GROUP BY 1, 2), pr AS (SELECT a.grp, a.item AS u, b.item AS v, count(*) AS raw_count, sum(a.w) AS support FROM v a JOIN v b ON a.grp = b.grp AND a.h = b.h AND a.item < b.item GROUP BY 1, 2, 3 HAVING count(*) >= 2),
  pj AS (SELECT pr.*, x.c AS cu, y.c AS cv, support / greatest(x.c + y.c - support, 1e-6) AS jaccard FROM pr JOIN one x ON x.grp = pr.grp AND x.item = pr.u JOIN one y ON y.grp = pr.grp AND y.item = pr.v),
  pp AS (SELECT grp, u AS src, v AS dst, raw_count, support, least(support / greatest(cu, 1e-6), 1.0) AS confidence, jaccard FROM pj WHERE jaccard >= 0.05 UNION ALL SELECT grp, v, u, raw_count, support, least(support / greatest(cv, 1e-6), 1.0), jaccard FROM pj WHERE jaccard >= 0.05)"""
 
 
-_RUNS = _coedits("SELECT run_id AS grp, lower(commit_hash) AS h, symbol_id AS item, commit_ts AS ts FROM commit_symbols WHERE run_id IS NOT NULL AND commit_hash IS NOT NULL AND symbol_id IS NOT NULL")
-_REPOS = _coedits("SELECT repo_id AS grp, lower(commit_hash) AS h, symbol_id AS item, commit_ts AS ts FROM commit_symbols WHERE repo_id IS NOT NULL AND commit_hash IS NOT NULL AND symbol_id IS NOT NULL")
+_P = "regexp_replace(replace(file_path, '\\', '/'), '^(\\./)+', '')"
+_RUNS = _coedits(f"SELECT run_id AS grp, lower(commit_hash) AS h, symbol_id AS item, commit_ts AS ts, {_P} AS p FROM commit_symbols WHERE run_id IS NOT NULL AND commit_hash IS NOT NULL")
+_REPOS = _coedits(f"SELECT repo_id AS grp, lower(commit_hash) AS h, symbol_id AS item, commit_ts AS ts, {_P} AS p FROM commit_symbols WHERE repo_id IS NOT NULL AND commit_hash IS NOT NULL")
 _RATES = """le0 AS (SELECT DISTINCT src, dst, CASE relation WHEN 'Contains' THEN 'AST Parent' WHEN 'Calls' THEN 'Call' WHEN 'References' THEN 'Type Ref' WHEN 'Imports' THEN 'Import' END AS layer FROM typed_edges WHERE src <> dst),
  le AS (SELECT * FROM le0 WHERE layer IS NOT NULL UNION SELECT dst, src, layer FROM le0 WHERE layer = 'AST Parent'), lr AS (SELECT n.repo_id, le.* FROM le JOIN n ON n.id = le.src),
  lx AS (SELECT lr.repo_id, layer, count(*) AS edge_count, count(support) AS cochanged, coalesce(sum(support), 0.0) AS mass FROM lr LEFT JOIN pp ON pp.grp = lr.repo_id AND pp.src = lr.src AND pp.dst = lr.dst GROUP BY 1, 2),
  fr AS (SELECT DISTINCT repo_id, l.layer FROM n, (VALUES ('AST Parent', 0.8), ('Call', 1.0), ('Type Ref', 0.6), ('Import', 0.3)) l(layer, d)),
  rt AS (SELECT fr.repo_id, fr.layer, coalesce(edge_count, 0) AS edge_count, coalesce(cochanged, 0) AS cochanged, coalesce(mass, 0.0) AS mass, coalesce(mass, 0.0) / (coalesce(edge_count, 0) + 1) AS rate FROM fr LEFT JOIN lx USING (repo_id, layer))"""
-_P = "regexp_replace(replace(file_path, '\\', '/'), '^(\\./)+', '')"
 _FIRST = f"fs AS (SELECT repo_id, {_P} AS p, min(span.start_row) AS r FROM n WHERE span IS NOT NULL GROUP BY 1, 2)"
 
 QUERIES = {
     f.__name__: f
-    for f in (doc_freq, bm25_fielded, rrf_fusion, rocchio_terms, hybrid_search, hash_embed, cosine_topk, coedit_top_pairs, coedit_pairs, megacommit_filter, coedit_counts, layer_rates, learned_weights, mrr, parse_unified_diff, diff_to_symbols)
+    for f in (doc_freq, bm25_fielded, rrf_fusion, rocchio_terms, hybrid_search, hash_embed, cosine_topk, coedit_top_pairs, coedit_pairs, megacommit_filter, coedit_counts, coedit_edges, coedit_per_source, coedit_lookup, layer_rates, learned_weights, mrr, parse_unified_diff, diff_to_symbols)
 }
 ORACLES = {
     "doc_freq": f"WITH {_TOK}, x AS (SELECT id, unnest(list_distinct(a || b || c || d)) AS term FROM dd) SELECT term, count(*) AS df FROM x GROUP BY 1",
@@ -224,15 +239,19 @@ ORACLES = {
         SELECT query, term, round(weight, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(weight, 9) DESC, term) AS rn FROM tw) WHERE rn <= 4""",
     "cosine_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), s AS (SELECT q.vec_id AS query, v.vec_id AS id, round(list_cosine_similarity(q.e, v.e), 9) AS score FROM v q, v WHERE q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id)
         SELECT query, id, round(score, 5) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10""",
-    "coedit_top_pairs": f"""WITH {_coedits("SELECT 1 AS grp, o_orderkey AS h, l_suppkey AS item, epoch(o_orderdate) AS ts FROM lineitem JOIN orders ON o_orderkey = l_orderkey")}
+    "coedit_top_pairs": f"""WITH {_coedits("SELECT 1 AS grp, o_orderkey AS h, l_suppkey AS item, epoch(o_orderdate) AS ts, l_partkey AS p FROM lineitem JOIN orders ON o_orderkey = l_orderkey")}
         SELECT src, dst, raw_count, round(support, 4) AS support, round(jaccard, 4) AS jaccard FROM pp WHERE src < dst ORDER BY round(support, 4) DESC, raw_count DESC, src, dst LIMIT 20""",
     "coedit_pairs": f"WITH {_RUNS} SELECT grp, src, dst, raw_count, round(support, 4) AS support, round(confidence, 4) AS confidence, round(jaccard, 4) AS jaccard FROM pp",
     "megacommit_filter": f"""WITH c AS (SELECT run_id, lower(commit_hash) AS h, count(DISTINCT symbol_id) AS n, count(DISTINCT {_P}) AS f FROM commit_symbols WHERE run_id IS NOT NULL AND commit_hash IS NOT NULL GROUP BY 1, 2)
         SELECT run_id, count(*) AS commits, count(*) FILTER (f > 25 OR n > 40) AS megacommits, count(*) FILTER (NOT (f > 25 OR n > 40) AND n >= 2) AS valid, count(*) FILTER (NOT (f > 25 OR n > 40) AND n < 2) AS small FROM c GROUP BY 1""",
-    "coedit_counts": """WITH x AS (SELECT run_id AS grp, lower(commit_hash) AS h, symbol_id AS item, max(commit_ts) AS ts FROM commit_symbols WHERE run_id IS NOT NULL AND commit_hash IS NOT NULL AND symbol_id IS NOT NULL GROUP BY 1, 2, 3), l AS (SELECT grp, max(ts) AS lt FROM x GROUP BY 1)
-        SELECT grp, item, count(*) AS commits, round(sum(least(greatest(power(2.0, -greatest(lt - ts, 0) / 7776000.0), 0.001), 1.0)), 4) AS weight FROM x JOIN l USING (grp) GROUP BY 1, 2""",
+    "coedit_counts": f"WITH {_RUNS} SELECT grp, item, count(*) AS commits, round(sum(w), 4) AS weight FROM v GROUP BY 1, 2",
+    "coedit_edges": f"WITH {_RUNS} SELECT grp, src, dst, 'CoChangesWith' AS relation, round(confidence, 4) AS weight FROM pp WHERE confidence >= 0.3",
+    "coedit_per_source": f"""WITH {_RUNS} SELECT grp, src, dst, rank, round(confidence, 4) AS confidence FROM (SELECT grp, src, dst, round(confidence, 9) AS confidence,
+        row_number() OVER (PARTITION BY grp, src ORDER BY round(confidence, 9) DESC, raw_count DESC, dst) AS rank FROM pp) WHERE rank <= 5""",
+    "coedit_lookup": f"""WITH {EDGES}, {_RUNS}, ca AS (SELECT DISTINCT src, dst FROM e WHERE relation = 'Calls'), se AS (SELECT DISTINCT grp, item AS src FROM ci WHERE item IS NOT NULL)
+        SELECT se.grp, ca.src, ca.dst, round(coalesce(pp.confidence, 0.0), 4) AS confidence, round(coalesce(pp.jaccard, 0.0), 4) AS jaccard FROM se JOIN ca USING (src) LEFT JOIN pp ON pp.grp = se.grp AND pp.src = ca.src AND pp.dst = ca.dst""",
     "layer_rates": f"WITH {NODES}, {_REPOS}, {_RATES} SELECT repo_id, layer, edge_count, cochanged, round(mass, 4) AS mass, round(rate, 6) AS rate FROM rt",
-    "learned_weights": f"""WITH {NODES}, {_REPOS}, {_RATES}, va AS (SELECT grp, count(*) AS valid FROM sz WHERE n BETWEEN 2 AND 40 GROUP BY 1),
+    "learned_weights": f"""WITH {NODES}, {_REPOS}, {_RATES}, va AS (SELECT grp, count(*) AS valid FROM sz WHERE n BETWEEN 2 AND 40 AND f <= 25 GROUP BY 1),
         x AS (SELECT rt.repo_id AS grp, layer, rate, valid, CASE layer WHEN 'AST Parent' THEN 0.8 WHEN 'Call' THEN 1.0 WHEN 'Type Ref' THEN 0.6 ELSE 0.3 END::DOUBLE AS d, max(rate) OVER (PARTITION BY rt.repo_id) AS top, least(greatest(exp(-valid / 50.0), 0.10), 0.85) AS lam FROM rt JOIN va ON va.grp = rt.repo_id),
         y AS (SELECT *, greatest((1 - lam) * CASE WHEN top > 0 THEN rate / top ELSE d END + lam * d, 0.15) AS raw FROM x), cf AS (SELECT grp, avg(confidence) AS mc FROM pp GROUP BY 1)
         SELECT grp, layer, round(floor(raw / greatest(max(raw) OVER (PARTITION BY grp), 0.01) * 100 + 0.5) / 100, 2) AS weight FROM y

@@ -82,13 +82,12 @@ def slice_bodies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def impact_from_diff(spark: SparkSession, d: str) -> DataFrame:
-    """What depends on the symbols that each repository's diff changes."""
+    """What depends on the symbols that each repository's diff changes, all of them together."""
     from .retrieval_queries import _diffs
 
-    s = nodes(spark, d).where("span is not null").select("id", "repo_id", "file_path", "span.start_row", "span.end_row")
-    hit = H.changed_symbols(H.parse_diff(_diffs(spark, d)), s).join(s.select("id", F.col("repo_id").alias("key")), ["id", "key"])
-    roots = hit.groupBy("key").agg(F.min("id").alias("id"))
-    return A.impact(edges(spark, d), roots).select("root", "id", F.col("depth").cast("bigint").alias("depth"))
+    s = nodes(spark, d).where("span is not null").select("id", F.col("repo_id").alias("key"), "file_path", "span.start_row", "span.end_row")
+    hit = H.changed_symbols(H.parse_diff(_diffs(spark, d)), s)
+    return A.impact(edges(spark, d), hit.select(F.col("key").alias("root"), "id")).select("root", "id", F.col("depth").cast("bigint").alias("depth"))
 
 
 def trace_paths(spark: SparkSession, d: str) -> DataFrame:
@@ -130,7 +129,7 @@ _ALL_PATHS = _paths(3).replace("WHERE rm <= 50", "WHERE rm <= 1000000")
 ORACLES = {
     "impact_from_diff": f"""WITH {NODES}, {EDGES}, {_FIRST}, rw AS (SELECT repo_id, p, r + unnest([0, 1]) AS row FROM fs), sy AS (SELECT id, repo_id, {_P} AS p, span.start_row AS a, span.end_row AS b FROM n WHERE span IS NOT NULL),
         h AS (SELECT sy.repo_id AS key, sy.p, sy.id, sum(CASE WHEN row BETWEEN a AND b THEN 1 ELSE 0 END) AS hits FROM sy JOIN rw ON rw.repo_id = sy.repo_id AND rw.p = sy.p GROUP BY 1, 2, 3), g AS (SELECT *, max(hits) OVER (PARTITION BY key, p) AS most FROM h),
-        r AS (SELECT min(id) AS id FROM g WHERE hits > 0 OR most = 0 GROUP BY key), {_BFS} SELECT root, id, CAST(depth AS BIGINT) AS depth FROM bfs""",
+        r AS (SELECT key, id FROM g WHERE hits > 0 OR most = 0), {_BFS.replace("SELECT id, id, 0 FROM r", "SELECT key, id, 0 FROM r")} SELECT root, id, CAST(depth AS BIGINT) AS depth FROM bfs""",
     "trace_paths": f"""WITH {NODES}, {BOTH}, {_SEEDS}, {_ROOTS.replace("o AS (", "o2 AS (").replace(" o.", " o2.").replace("JOIN o ON", "JOIN o2 ON").replace("(SELECT n.repo_id, o.id", "(SELECT n.repo_id, o2.id")}, {_ALL_PATHS},
         kx AS (SELECT *, row_number() OVER () AS pid FROM wc WHERE target IN (SELECT id FROM r)), nr AS (SELECT pid, sum(n.token_cost / 100.0) AS nodes FROM (SELECT pid, unnest(path) AS id FROM kx) y JOIN n ON n.id = y.id GROUP BY 1),
         er AS (SELECT pid, sum(w * {case_weights(G.relation_weights(), 'r')}) AS edge FROM (SELECT pid, unnest(relations) AS r, unnest(weights) AS w FROM kx) GROUP BY 1),

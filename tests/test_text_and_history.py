@@ -108,6 +108,26 @@ def test_couplings(spark):
     assert set(got) == {(1, 2), (2, 1)} and got[1, 2]["raw_count"] == 3 and got[1, 2]["confidence"] > 0.9
 
 
+def test_megacommits_by_files_and_items(spark):
+    rows = [(1, c, 100, i, "f") for c in range(3) for i in (1, 2)] + [(1, 9, 900, i, "f") for i in range(50)] + [(1, 7, 100, 1 + k % 2, f"f{k}") for k in range(26)] + [(1, 6, 100, 1 + k % 2, f"f{k}") for k in range(25)] + [(1, 5, 100, None, f"g{k}") for k in range(26)] + [(1, 5, 100, 1, "f"), (1, 5, 100, 2, "f")]
+    df = spark.createDataFrame(rows, "grp long, commit long, ts long, item long, path string")
+    size = {r["commit"]: (r["megacommit"], r["valid"]) for r in H.commit_sizes(df).collect()}
+    assert size == {0: (False, True), 1: (False, True), 2: (False, True), 9: (True, False), 7: (True, False), 6: (False, True), 5: (True, False)}
+    c = H.couplings(df)
+    got = {(r["src"], r["dst"]): r for r in c.collect()}
+    assert set(got) == {(1, 2), (2, 1)} and got[1, 2]["raw_count"] == 4
+    assert {r["weight"] for r in H.directed_edges(c).collect()} == {1.0} and H.directed_edges(c, 1.1).count() == 0
+    asked = spark.createDataFrame([(1, 1, 2), (1, 1, 9)], "grp long, src long, dst long")
+    assert {(r["dst"], r["confidence"]) for r in H.confidence_of(c, asked).collect()} == {(2, 1.0), (9, 0.0)}
+    assert [r["rank"] for r in H.couplings_of(c, 1).orderBy("src").collect()] == [1, 1]
+
+
+def test_changed_symbols_of_two_checkouts_with_one_path(spark):
+    rows = spark.createDataFrame([("r1", "src/x.rs", 50), ("r2", "src/x.rs", 1), ("r2", "lib/y.rs", 3)], "key string, path string, row long")
+    s = spark.createDataFrame([("r1", 1, "src/x.rs", 0, 3), ("r2", 2, "./src/x.rs", 0, 3), ("r2", 3, "src/x.rs", 5, 9), ("r2", 4, "repo/lib/y.rs", 0, 9), ("r2", 5, "y.rs", 0, 9), ("r2", 6, "ay.rs", 0, 9)], "key string, id long, file_path string, start_row long, end_row long")
+    assert {(r["key"], r["id"], r["hits"]) for r in H.changed_symbols(rows, s).collect()} == {("r1", 1, 1), ("r2", 2, 1), ("r2", 4, 1), ("r2", 5, 1)}
+
+
 def test_parser():
     py = P.symbols_of("a.py", "class A:\n    def f(self):\n        \"doc\"\n        g()\n\ndef h(): pass\n")
     assert [(s["name"], s["kind"], s["container_name"]) for s in py] == [("A", "Struct", None), ("f", "Method", "A"), ("h", "Function", None)]
