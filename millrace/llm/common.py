@@ -70,10 +70,12 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else one for this session's tests."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a folder of this machine for sessions on this machine only."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         found = "file://" + tempfile.mkdtemp(prefix="millrace-")
@@ -83,7 +85,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Writes `df` to the shared folder and reads it back: later steps survive lost executors."""
-    path = os.path.join(shared_dir(df.sparkSession), f"table-{uuid.uuid4().hex}")
+    """Writes `df` to the shared folder and reads it back: later steps survive lost executors. The table is deleted when the session's process ends."""
+    spark = df.sparkSession
+    path = os.path.join(shared_dir(spark), f"table-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)

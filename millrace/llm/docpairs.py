@@ -55,6 +55,10 @@ def _family(language: str) -> str:
     return language if language in ("python", "rust", "go") else "js"
 
 
+_BODY = re.compile(r"\s*(?::[^;{}]*(?:\{[^{}]*\}[^;{}]*)?)?\{")
+_ENDED = re.compile(r"[ \t]*(?:;|\n|\Z|\#)")
+
+
 def _balanced(text: str, at: int) -> int:
     """Offset after the bracket that closes the one at `at`, or -1."""
     depth = 0
@@ -148,7 +152,7 @@ def spans_of(path: str | None, content: str | None) -> list[tuple]:
                 continue
             open_at = code.index("(", m.start("m"))
             close = _balanced(code, open_at)
-            if close < 0 or not re.match(r"\s*(?::[^;{}]*(?:\{[^{}]*\}[^;{}]*)?)?\{", code[close : close + 400]):
+            if close < 0 or not _BODY.match(code, close):
                 continue
         r = row(m.start() + len(m.group()) - len(m.group().lstrip()))
         body = None
@@ -164,7 +168,7 @@ def spans_of(path: str | None, content: str | None) -> list[tuple]:
                     p += 1
                 if p in strings:
                     end, piece = strings[p]
-                    if re.match(r"[ \t]*(?:;|\n|\Z|\#)", text[end : end + 200]) and not re.match(r"(?i)[rbuf]*[bf]", re.match(r"\w*", piece).group() or "-"):
+                    if _ENDED.match(text, end) and not re.match(r"(?i)[rbuf]*[bf]", re.match(r"\w*", piece).group() or "-"):
                         body = row(p)
                         out.append(("docstring", body, body, name, piece, None))
         opening = code.find("(", m.end() - 1)

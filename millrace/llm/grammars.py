@@ -11,6 +11,7 @@ Python is parsed by the interpreter's own generated packrat PEG parser.
 from __future__ import annotations
 
 import re
+import sys
 import warnings
 
 from .peg import Grammar
@@ -703,22 +704,30 @@ def grammar(language: str) -> Grammar:
     return _made[language]
 
 
+class TooDeep(Exception):
+    """The text nests deeper than it can be parsed: nothing is known of it."""
+
+
 def _python(text: str) -> int | None:
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             compile(text, "<file>", "exec", dont_inherit=True)
     except SyntaxError as e:
+        if "too many nested" in (e.msg or ""):
+            raise TooDeep from e
         lines = text.split("\n")
         row = min(max((e.lineno or 1) - 1, 0), len(lines) - 1)
         return min(sum(len(x) + 1 for x in lines[:row]) + max((e.offset or 1) - 1, 0), len(text))
-    except (ValueError, RecursionError, MemoryError, OverflowError):
-        return 0
+    except ValueError:  # null bytes
+        return max(text.find("\0"), 0)
+    except (RecursionError, MemoryError, OverflowError) as e:
+        raise TooDeep from e
     return None
 
 
 def failure(language: str, text: str) -> int | None:
-    """None if the text is valid, else the offset of the furthest failure."""
+    """None if the text is valid, else the offset of the furthest failure; TooDeep where neither can be told."""
     if text.startswith("﻿"):
         bad = failure(language, text[1:])
         return None if bad is None else bad + 1
@@ -731,9 +740,16 @@ def failure(language: str, text: str) -> int | None:
         return e.at
     if len(kinds) == 1 or (language == "go" and kinds == [";", "EOF"]):
         return None
+    limit = sys.getrecursionlimit()
     try:
-        if g.accepts(kinds, newline):
-            return None
-        return starts[g.furthest(kinds, newline)]
-    except RecursionError:
-        return len(text)
+        for deep in (limit, max(limit, 100 * len(kinds) + 10_000)):  # calls between Python functions take no native stack
+            sys.setrecursionlimit(deep)
+            try:
+                return None if g.accepts(kinds, newline) else starts[g.furthest(kinds, newline)]
+            except RecursionError:
+                continue
+        raise TooDeep
+    except MemoryError as e:
+        raise TooDeep from e
+    finally:
+        sys.setrecursionlimit(limit)

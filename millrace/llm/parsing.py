@@ -8,7 +8,8 @@ another language's grammar accepts, binary data, or plain syntax.
 
 Defined cases: null content and files of other extensions are never flagged;
 empty and comment-only content, byte-order marks and CRLF are valid; a repeated
-load of a file is reported once; an empty table gives an empty result. The
+load of a file is reported once; a text that nests too deep to be parsed is neither
+valid nor invalid, and counted apart; an empty table gives an empty result. The
 work is one pass without a shuffle of contents; rates are counted by repository
 and language after the loads of a file are made one.
 """
@@ -39,17 +40,24 @@ def cause_of(language: str, text: str, at: int) -> str:
     if not text[at:].strip():
         return "truncated"
     for other in ("python", "go", "rust", "typescript", "javascript"):
-        if other != language and not (other == "javascript" and language in ("typescript", "tsx")) and grammars.failure(other, text) is None:
-            return "other_language"
+        if other != language and not (other == "javascript" and language in ("typescript", "tsx")):
+            try:
+                if grammars.failure(other, text) is None:
+                    return "other_language"
+            except grammars.TooDeep:
+                continue
     return "syntax"
 
 
-def judge(path: str | None, content: str | None) -> tuple[str, bool, int | None, int | None, str | None] | None:
-    """(language, valid, failure offset, failure row, cause) of a source file, None for what is not judged."""
+def judge(path: str | None, content: str | None) -> tuple[str, bool | None, int | None, int | None, str | None] | None:
+    """(language, valid, failure offset, failure row, cause) of a source file, None for what is not judged; `valid` is None for a text nested too deep."""
     language = language_of_path(path)
     if language is None or content is None:
         return None
-    at = grammars.failure(language, content)
+    try:
+        at = grammars.failure(language, content)
+    except grammars.TooDeep:
+        return language, None, None, None, "too_deep"
     if at is None:
         return language, True, None, None, None
     return language, False, at, content.count("\n", 0, at), cause_of(language, content, at)
@@ -71,11 +79,12 @@ def judged(files: DataFrame) -> DataFrame:
 def rates(verdicts: DataFrame) -> DataFrame:
     """(repo_id, language, files, invalid, rate, causes...) over the files of each repository and language."""
     one = verdicts.groupBy("file_id", "repo_id", "language").agg(F.min("valid").alias("valid"), F.min("cause").alias("cause"))
-    causes = ("conflict_markers", "truncated", "other_language", "binary_data", "syntax")
+    causes = ("conflict_markers", "truncated", "other_language", "binary_data", "syntax", "too_deep")
+    bad = F.coalesce(~F.col("valid"), F.lit(False))
     return one.groupBy("repo_id", "language").agg(
         F.count("*").alias("files"),
-        F.sum(F.when(F.col("valid"), 0).otherwise(1)).cast("bigint").alias("invalid"),
-        F.round(F.avg(F.when(F.col("valid"), 0.0).otherwise(1.0)), 6).alias("rate"),
+        F.sum(bad.cast("int")).cast("bigint").alias("invalid"),
+        F.round(F.avg(bad.cast("double")), 6).alias("rate"),
         *(F.sum(F.when(F.col("cause") == c, 1).otherwise(0)).cast("bigint").alias(c) for c in causes),
     )
 

@@ -56,3 +56,10 @@ def test_long_file(spark):
     f = spark.createDataFrame([(1, "a.py", text)], "file_id long, file_path string, content string")
     a = spark.createDataFrame([(1, 1, "f", "Function", "def f()")], "symbol_id long, file_id long, name string, kind string, signature string")
     assert D.documented(f, a).count() == 1
+
+
+def test_long_return_types_and_long_rows_after_a_docstring():
+    ts = "class K {\n  // Not thread safe.\n  run(a: number): " + "Map<string, " * 80 + "number" + ">" * 80 + " {\n  }\n}\n"
+    assert "run" in {e[3] for e in D.spans_of("a.ts", ts) if e[0] == "function"}
+    py = 'def f():\n    """Says something new."""' + " " * 400 + "# and a remark\n    return 1\n"
+    assert [e[0] for e in D.spans_of("a.py", py)].count("docstring") == 1

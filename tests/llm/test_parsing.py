@@ -99,3 +99,12 @@ def test_operator(spark):
     found = {(r.repo_id, r.language): (r.files, r.invalid, r.rate) for r in parsing.rates(got).collect()}
     assert found == {(1, "python"): (2, 1, 0.5), (2, "rust"): (1, 1, 1.0)}
     assert parsing.judged(df.limit(0)).count() == 0
+
+
+def test_deep_nesting_is_not_invalid():
+    from millrace.llm import grammars
+
+    for language, text in (("javascript", "x = " + "(" * 1500 + "1" + ")" * 1500 + ";\n"), ("go", "package a\n\nvar x = " + "(" * 1500 + "1" + ")" * 1500 + "\n"), ("rust", "fn f() { let x = " + "(" * 1500 + "1" + ")" * 1500 + "; }\n")):
+        assert grammars.failure(language, text) is None
+        assert grammars.failure(language, text.replace("1", "1 1", 1)) is not None
+    assert parsing.judge("a.py", "x = " + "(" * 5000 + "1" + ")" * 5000) == ("python", None, None, None, "too_deep")
