@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.operators.checkpoints import materialize
 
 # Fields with their weight and length normalisation, and the constants of the term score.
 FIELDS = (("name", 4.0, 0.5), ("sig", 2.0, 0.75), ("path", 1.5, 0.4), ("doc", 1.0, 0.8))
@@ -45,17 +46,38 @@ def doc_freq(docs: DataFrame) -> DataFrame:
 
 
 def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query, id, score) of every document with a positive fielded score, exact-name and n-gram bonuses included."""
-    terms = queries.select("query", F.explode("terms").alias("term")).distinct()
-    stats = docs.agg(F.count("*").alias("n_docs"), *[F.avg(F.size(f"{f}_tokens")).alias(f"avg_{f}") for f, _, _ in FIELDS])
-    wanted = terms.select("term").distinct()
+    """(query, id, score) of every document with a positive fielded score, exact-name and n-gram bonuses included.
 
-    def tag(field: str):  # noqa: ANN202
-        return F.transform(f"{field}_tokens", lambda t: F.struct(t.alias("term"), F.lit(field).alias("field")))
+    The texts are read once: of each document its lengths, the tokens that the stated queries ask for and
+    its bonuses are written to the shared folder, and everything else works on these.
+    """
+    rows = queries.select("query", "text", "terms").collect()  # the stated queries
+    if not rows:
+        return docs.select(F.lit(None).cast("bigint").alias("query"), "id", F.lit(0.0).alias("score")).limit(0)
+    wanted = sorted({t for r in rows for t in r["terms"]})
+    grams = {r["query"]: sorted(grams_of(r["text"])) for r in rows}
 
-    tagged = F.concat(*[tag(f) for f, _, _ in FIELDS])
-    post = docs.select("id", *[F.size(f"{f}_tokens").alias(f"len_{f}") for f, _, _ in FIELDS], F.explode(tagged).alias("x")).select("*", "x.term", "x.field").drop("x")
-    post = post.join(F.broadcast(wanted), "term")  # the terms of the stated queries
+    def tag(field: str):  # noqa: ANN202
+        asked = F.filter(f"{field}_tokens", lambda t: t.isin(wanted)) if wanted else F.array().cast("array<string>")
+        return F.transform(asked, lambda t: F.struct(t.alias("term"), F.lit(field).alias("field")))
+
+    name, own = F.array_join("name_tokens", ""), T.char_ngrams(F.array_join("name_tokens", ""))
+    stated = F.array(*[F.struct(F.lit(r["query"]).alias("query"), F.lit(r["text"].strip().lower()).alias("q"), F.array(*[F.lit(g) for g in grams[r["query"]]]).alias("grams")) for r in rows])
+
+    def bonus(x, g):  # noqa: ANN001, ANN202 - columns
+        exact = F.when((name == x["q"]) | (F.array_join("name_tokens", "_") == x["q"]), 40.0).when(F.array_contains("name_tokens", x["q"]), 20.0).otherwise(0.0)
+        common = F.size(F.array_intersect(x["grams"], g))
+        sim = common / (F.size(x["grams"]) + F.size(g) - common)
+        return F.struct(x["query"].alias("query"), (exact + F.when(sim > 0.35, sim * 15.0).otherwise(0.0)).alias("s"))
+
+    # whatever shares a gram shares one of three characters, and only such names can have a bonus
+    short = sorted({g for gs in grams.values() for g in gs if len(g) == min(3, len(g))} | {r["text"].strip().lower() for r in rows})
+    near = F.concat(F.lit("<"), name, F.lit(">")).rlike("|".join(r"\Q" + g.replace(r"\E", "") + r"\E" for g in short if g))
+    # the grams of a name are one element, so that they are made once and not for each query
+    bonuses = F.when(near, F.element_at(F.transform(F.array(own), lambda g: F.filter(F.transform(stated, lambda x: bonus(x, g)), lambda y: y["s"] > 0)), 1))
+    seen = materialize(docs.select("id", *[F.size(f"{f}_tokens").alias(f"len_{f}") for f, _, _ in FIELDS], F.concat(*[tag(f) for f, _, _ in FIELDS]).alias("hits"), bonuses.alias("bonuses")))
+    stats = seen.agg(F.count("*").alias("n_docs"), *[F.avg(f"len_{f}").alias(f"avg_{f}") for f, _, _ in FIELDS])
+    post = seen.where(F.size("hits") > 0).select("id", *[f"len_{f}" for f, _, _ in FIELDS], F.explode("hits").alias("x")).select("*", "x.term", "x.field").drop("x")
     per = post.groupBy("id", "term", *[f"len_{f}" for f, _, _ in FIELDS]).agg(*[F.sum((F.col("field") == f).cast("int")).alias(f"tf_{f}") for f, _, _ in FIELDS])
     df = per.groupBy("term").agg(F.count("*").alias("df"))
     x = per.join(F.broadcast(df), "term").join(F.broadcast(stats))  # as many rows as query terms, and one row
@@ -65,17 +87,10 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
         norm = F.greatest(1.0 - b + b * (F.col(f"len_{f}") / F.greatest(F.col(f"avg_{f}"), F.lit(1.0))), F.lit(0.2))
         tf = tf + w * (F.col(f"tf_{f}") / norm)
     x = x.select("id", "term", (idf * (tf * (K1 + 1.0) / (tf + K1) + DELTA)).alias("s"))
+    terms = queries.select("query", F.explode("terms").alias("term")).distinct()
     lexical = x.join(F.broadcast(terms), "term").groupBy("query", "id").agg(F.sum("s").alias("s"))
-    rows = [r for r in queries.select("query", "text").collect()]  # the stated queries
-    stated = F.array(*[F.struct(F.lit(r["query"]).alias("query"), F.lit(r["text"].strip().lower()).alias("q"), F.array(*[F.lit(g) for g in sorted(grams_of(r["text"]))]).alias("q_grams")) for r in rows])
-    # the grams of a name are made once, in a projection of their own, and not again for each query
-    named = docs.select("id", "name", "name_tokens", T.char_ngrams(F.array_join("name_tokens", "")).alias("grams"))
-    e = named.select("*", F.explode(stated).alias("x")).select("*", "x.query", "x.q", "x.q_grams")
-    exact = F.when((F.array_join("name_tokens", "") == F.col("q")) | (F.array_join("name_tokens", "_") == F.col("q")), 40.0).when(F.array_contains("name_tokens", F.col("q")), 20.0).otherwise(0.0)
-    common = F.size(F.array_intersect("q_grams", "grams"))
-    sim = common / (F.size("q_grams") + F.size("grams") - common)
-    bonus = e.select("query", "id", (exact + F.when(sim > 0.35, sim * 15.0).otherwise(0.0)).alias("s")).where("s > 0")
-    return lexical.unionByName(bonus).groupBy("query", "id").agg(F.sum("s").alias("score"))
+    extra = seen.where("bonuses is not null").select("id", F.explode("bonuses").alias("x")).select("x.query", "id", "x.s")
+    return lexical.unionByName(extra).groupBy("query", "id").agg(F.sum("s").alias("score"))
 
 
 def top_k(scores: DataFrame, k: int, by: str = "score", key: str = "query") -> DataFrame:

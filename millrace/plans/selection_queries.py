@@ -149,11 +149,16 @@ def pareto_frontier(spark: SparkSession, d: str) -> DataFrame:
 
 def truncate_to_budget(spark: SparkSession, d: str) -> DataFrame:
     """How many lines of each document fit into 200 tokens, counted from its start."""
-    t = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    t = t.withColumn("tokens", T.token_estimate(F.col("line")))
-    w = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = t.withColumn("total", F.sum("tokens").over(w))
-    return x.groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum((F.col("total") <= 200).cast("int")).alias("kept"), F.max(F.when(F.col("total") <= 200, F.col("total"))).alias("tokens"))
+    lines = F.split("text", "\n")
+    empty = F.struct(F.lit(0).cast("bigint").alias("total"), F.lit(0).cast("bigint").alias("kept"), F.lit(None).cast("bigint").alias("tokens"))
+
+    def step(acc, line):  # noqa: ANN001, ANN202 - columns
+        after = lambda t: F.struct(t.alias("total"), (acc["kept"] + (t <= 200).cast("bigint")).alias("kept"), F.when(t <= 200, t).otherwise(acc["tokens"]).alias("tokens"))
+        # lines behind the budget are not read; the estimate is made once, as an element
+        return F.when(acc["total"] > 200, acc).otherwise(F.element_at(F.transform(F.array(acc["total"] + T.token_estimate(line)), after), 1))
+
+    x = table(spark, d, "documents").where("text is not null").select("doc_id", F.size(lines).cast("bigint").alias("lines"), F.aggregate(lines, empty, step).alias("x"))
+    return x.select("doc_id", "lines", "x.kept", "x.tokens")
 
 
 def two_hop_ground_truth(spark: SparkSession, d: str) -> DataFrame:
