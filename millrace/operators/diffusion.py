@@ -32,21 +32,20 @@ def ppr(transition: DataFrame, seeds: DataFrame, alpha: float = ALPHA, steps: in
     at least `epsilon` until none is left or `max_steps` is reached. A sink keeps
     all of its residual. The sum of p and r of a query is 1.
     """
-    t = transition.select(F.col("src").alias("id"), "dst", F.col("weight").alias("w"))
-    t = t.persist() if steps is None or steps > 2 else t
-    has_out = t.select("id").distinct().withColumn("out", F.lit(True))
+    out = transition.select(F.col("src").alias("id"), "dst", F.col("weight").alias("w"), F.lit(False).alias("stays"))
+    # a row of its own for each node with edges tells what stays there, so that one join does both; a sink has no row
+    t = out.unionByName(out.select("id", F.col("id").alias("dst"), F.lit(0.0).alias("w"), F.lit(True).alias("stays")).distinct())
+    t = materialize(t) if steps is None or steps > 2 else t
     state = normalized_seeds(seeds).select("query", "id", F.lit(0.0).alias("p"), "r")
     rounds = steps if steps is not None else max_steps
+    live = F.col("r") >= epsilon if steps is None else F.col("r") > 0
+    stays, sink = F.coalesce("stays", F.lit(True)), F.col("stays").isNull()
     for k in range(rounds):
-        active = F.col("r") >= epsilon if steps is None else F.col("r") > 0
-        s = state.join(has_out, "id", "left").withColumn("live", active)
-        kept = s.select(
-            "query", "id",
-            F.when(F.col("live"), F.col("p") + F.when(F.col("out"), alpha * F.col("r")).otherwise(F.col("r"))).otherwise(F.col("p")).alias("p"),
-            F.when(F.col("live"), 0.0).otherwise(F.col("r")).alias("r"),
-        )
-        pushed = s.where("live and out").join(t, "id").select("query", F.col("dst").alias("id"), F.lit(0.0).alias("p"), ((1 - alpha) * F.col("r") * F.col("w")).alias("r"))
-        state = kept.unionByName(pushed).groupBy("query", "id").agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
+        x = state.join(t, "id", "left").where(stays | live)
+        kept = F.col("p") + F.when(live, F.when(sink, F.col("r")).otherwise(alpha * F.col("r"))).otherwise(0.0)
+        left = F.when(stays, F.when(live, 0.0).otherwise(F.col("r"))).otherwise((1 - alpha) * F.col("r") * F.col("w"))
+        x = x.select("query", F.coalesce("dst", "id").alias("id"), F.when(stays, kept).otherwise(0.0).alias("p"), left.alias("r"))
+        state = x.groupBy("query", "id").agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
         if (k + 1) % checkpoint_every == 0:
             state = materialize(state)
             # rounds after the last live residual change nothing, so looking at every few is enough
