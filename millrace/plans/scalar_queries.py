@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions import registry
 from millrace.functions import text as T
 
 from .base import NODES, nodes, table, tokens_sql, words_sql
@@ -34,6 +35,13 @@ def token_estimate(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", t.alias("tokens")).withColumn("calibrated", T.token_calibrated(F.col("tokens")))
 
 
+def sql_functions(spark: SparkSession, d: str) -> DataFrame:
+    """The token estimate and the language of each loaded file, by the registered SQL functions."""
+    registry.register(spark)
+    table(spark, d, "file_sources").createOrReplaceTempView("millrace_files")
+    return spark.sql("SELECT DISTINCT file_id, token_estimate(coalesce(content, '')) AS tokens, language_of(file_path) AS language FROM millrace_files")
+
+
 def cost_breakdown(spark: SparkSession, d: str) -> DataFrame:
     """Token cost of a symbol at each level of detail: signature, with documentation, sliced and full body."""
     n = nodes(spark, d)
@@ -125,7 +133,7 @@ _TYPE = "CASE kind WHEN 'Enum' THEN 'Type' WHEN 'TypeAlias' THEN 'Type' WHEN 'Tr
 
 QUERIES = {
     f.__name__: f
-    for f in (tokenize_ident, char_ngrams, ngram_jaccard, trigram_similarity, token_estimate, cost_breakdown, lang_from_path, node_type_infer, is_test_predicate, subsystem_of_path, task_kind, model_profile, path_distance, public_api_catalog, recency_decay, valid_revision)
+    for f in (tokenize_ident, char_ngrams, ngram_jaccard, trigram_similarity, token_estimate, sql_functions, cost_breakdown, lang_from_path, node_type_infer, is_test_predicate, subsystem_of_path, task_kind, model_profile, path_distance, public_api_catalog, recency_decay, valid_revision)
 }
 ORACLES = {
     "tokenize_ident": f"WITH {NODES} SELECT id, array_to_string({words_sql('signature')}, ' ') AS tokens FROM n",
@@ -136,6 +144,9 @@ ORACLES = {
         y AS (SELECT id, {_grams('s', (3,))} AS a, {_grams('t', (3,))} AS b FROM x) SELECT id, {_jaccard('a', 'b')} AS similarity FROM y""",
     "token_estimate": f"""WITH x AS (SELECT doc_id, {tokens_sql("coalesce(text, '')")} AS tokens FROM documents)
         SELECT doc_id, tokens, CAST(greatest(floor(0.96 * tokens + 0.5), 1) AS BIGINT) AS calibrated FROM x""",
+    "sql_functions": f"""SELECT DISTINCT file_id, {tokens_sql("coalesce(content, '')")} AS tokens, CASE lower(regexp_extract(file_path, '\\.([^./\\\\]+)$', 1)) """
+    + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.LANGUAGES.items())
+    + " END AS language FROM file_sources",
     "cost_breakdown": f"""WITH {NODES}, x AS (SELECT id, {tokens_sql('signature')} AS signature_tokens, {tokens_sql("coalesce(docstring, '')")} AS doc_tokens,
         {tokens_sql("(name || ' ' || kind || ' ' || file_path)")} AS metadata_tokens, CAST(ceil((span.end_byte - span.start_byte) / 4.0) AS BIGINT) AS body FROM n),
         y AS (SELECT id, signature_tokens, doc_tokens, metadata_tokens, coalesce(body, signature_tokens) AS full_tokens FROM x)

@@ -215,3 +215,19 @@ def test_slicing():
     assert cut[0] == "fn a() -> u8 {" and "    ... [6 lines elided] ..." in cut and "    y" in cut and "        go(x);" in cut and "    let y = 2;" not in cut
     py = 'def f():\n    """Doc\n    more."""\n' + "    a = 1\n" * 8 + "    return a"
     assert "    more." in sliced(py, True) and "    a = 1" not in sliced(py, True).split("\n")
+
+
+def test_sql_functions_equal_the_column_functions(spark):
+    from millrace.functions import registry
+
+    names = registry.register(spark)
+    rows = [("fooBar(x) -> y::z 12a", "./a\\b.rs", 86400 * 90), ("", "x/test_a.py", 0), (None, None, None), ("it's \"q\" \\d", "a.test.ts", -5)]
+    df = spark.createDataFrame(rows, "t string, p string, n long")
+    df.createOrReplaceTempView("sql_function_rows")
+    args = {"BIGINT": "n"}
+    for name in names:
+        parameters, result, make = registry.FUNCTIONS[name]
+        columns = [args.get(kind, "p" if x in ("p", "path") else "t") for x, kind in parameters.items()]
+        got = [r[0] for r in spark.sql(f"SELECT {name}({', '.join(columns)}) FROM sql_function_rows").collect()]
+        want = [r[0] for r in df.select(make(*[F.col(c) for c in columns]).cast(result)).collect()]
+        assert got == want, name
