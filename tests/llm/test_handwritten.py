@@ -146,6 +146,78 @@ def test_links_among_classes_that_resemble_their_leader(spark):
     assert len(set(want)) == 13 and own == dict(enumerate(want))
 
 
+def test_a_bucket_of_many_unlike_classes(spark):
+    """20,000 classes of one bucket, half alike but for 50 similar pairs: no comparison of whole signatures for each two."""
+    import time
+
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(2)
+    n, common = 20_000, r.integers(0, 2**63, 40, dtype=np.uint64)
+    sets = [np.sort(np.concatenate([common, x])) for x in r.integers(0, 2**63, (n, 20), dtype=np.uint64)]
+    for i in range(50):
+        sets[2 * i + 1] = np.sort(np.concatenate([sets[2 * i][:-2], sets[2 * i + 1][-2:]]))
+    column = lambda rows: pa.array([x.view(np.int64) for x in rows], pa.list_(pa.int64()))
+    table = pa.table({"class": pa.array(range(n), pa.int64()), "hashes": column(sets), "sig": column([H.signature(x) for x in sets]), "bands": column([np.array([7])] * n)})
+    df = spark.createDataFrame(table).repartition(2)
+    H.links(df.limit(0)).collect()
+    began = time.time()
+    got = {(min(x), max(x)) for x in H.links(df).collect()}
+    assert got == {(2 * i, 2 * i + 1) for i in range(50)}
+    assert time.time() - began < 45
+
+
+def test_near_pairs_leave_out_no_similar_one():
+    """Buckets below and above SMALL, sets of all sizes, some with more hashes than parities can tell apart."""
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    rows = []
+    for key, classes in ((-5, 1), (-4, 64), (-2, 65), (1, 9), (3, 1100)):
+        base = [r.integers(0, 2**63, m, dtype=np.uint64) for m in (1, 3, 12, 60, 200, 700, 2500)]
+        for _ in range(classes):
+            x = base[r.integers(len(base))]
+            rows.append((key, np.unique(np.concatenate([x[r.random(len(x)) < 0.93], r.integers(0, 2**63, r.integers(len(x) // 9 + 1), dtype=np.uint64), x[:1]]))))
+    rows.sort(key=lambda x: (x[0], len(x[1])))
+    key, n = np.array([x[0] for x in rows]), np.array([len(x[1]) for x in rows], dtype=np.int32)
+    for places in (H.PLACES, 2 * H.PLACES):
+        found = [(i, j) for a, b in H.near_pairs(key, n, np.stack([H.parities(x[1], places) for x in rows])) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+        assert len(found) == len({*found}) and all(j < i and key[i] == key[j] for i, j in found)
+        similar = set()
+        for i in range(0, len(rows), 7):
+            for j in range(i):
+                if key[i] == key[j] and n[j] >= 0.8 * n[i]:
+                    common = len(np.intersect1d(rows[i][1], rows[j][1], assume_unique=True))
+                    if common >= 0.8 * (n[i] + n[j] - common):
+                        similar.add((i, j))
+        assert len(similar) > 1000 and similar <= {*found}
+    assert not list(H.near_pairs(key[:0], n[:0], np.zeros((0, 8), dtype=np.uint64)))
+
+
+def test_pieces_end_with_their_keys():
+    import pyarrow as pa
+
+    keys = [[1, 1, 2], [], [2, 2], [2], [3], [4, 5], [6, 6]]
+    parts, got = [], []
+    for b in H._pieces(pa.RecordBatch.from_arrays([pa.array(k, pa.int64())], names=["key"]) for k in keys):
+        if b is not None:
+            parts += b.column(0).to_pylist()
+        else:
+            got.append(parts)
+            parts = []
+    assert not parts and sum(got, []) == sum(keys, [])
+    assert all(not {*a} & {*b} for i, a in enumerate(got) for b in got[:i])
+
+
+def test_tokens_of_literals():
+    same = lambda path, *texts: len({H.evidence(path, x)["hashes"].tobytes() for x in texts}) == 1
+    assert same("a.rs", 'let a = r"x y";', 'let a = r#"x "y" z"#;', "let b = 'c';\n\n  ", 'let a = br##"x"# "##; // r#', "let r = '\\n';")
+    assert same("a.py", "x = rb'a'", 'y = """a\n#"""  # b', "z = 'f'\n" + " " * 100_000)
+    assert same("a.js", "x = /a[/]b/g", "y = `a\n${b}`", "z = 'c' /* d */")
+    assert not same("a.rs", "let a = r#type;", 'let a = r#"type"#;')
+
+
 @pytest.mark.parametrize(("line", "want"), [("@generated by x", (True, False)), ("Upstream: A, tag v1.2.3 (imported, keep in sync)", (False, True)), ("quartz 6.25, copyright its authors", (False, True)), ("All rights reserved.", (False, False)), ("replaces the generated client", (False, False))])
 def test_declared(line, want):
     assert H.declared([line]) == want
